@@ -46,6 +46,10 @@ PATTERNS: dict[str, tuple[str, str]] = {
 EPOCHS = {10: (1_000_000, 1), 13: (1_000, 1), 16: (1, 1), 19: (1, 1_000)}
 
 
+#: Field names of the picked parts, which differ without regard to case.
+_FIELD = dict(zip("ymdHMSfhz", "year month day hour minute second fraction half zone".split()))
+
+
 def _int(c: Column) -> Column:
     return c.try_cast("int")
 
@@ -79,7 +83,7 @@ def _parts(text: Column, kind: str, order: Column) -> Column:
         month = _month_number(part["n"]).cast("string")
     none = F.lit("")
     named = {"y": part["y"], "m": month, "d": day} | {g: part.get(g, none) for g in "HMSfhz"}
-    return F.struct(*[c.alias(g) for g, c in named.items()])
+    return F.struct(*[c.alias(_FIELD[g]) for g, c in named.items()])
 
 
 def with_instant(rows: DataFrame, value: str, tz: Column, order: Column, out: str) -> DataFrame:
@@ -97,7 +101,7 @@ def with_instant(rows: DataFrame, value: str, tz: Column, order: Column, out: st
         branch = (text.rlike(pattern), _parts(text, kind, F.col("_ord")))
         cascade = F.when(*branch) if cascade is None else cascade.when(*branch)
     step = step.withColumn("_p", cascade)
-    p = {g: F.col(f"_p.{g}") for g in "ymdHMSfhz"}
+    p = {g: F.col(f"_p.{name}") for g, name in _FIELD.items()}
     half = F.lower(p["h"])
     step = step.withColumns({
         "_y": _int(p["y"]), "_m": _int(p["m"]), "_d": _int(p["d"]), "_h0": F.coalesce(_int(p["H"]), F.lit(0)),
