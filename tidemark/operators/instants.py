@@ -100,14 +100,16 @@ def with_instant(rows: DataFrame, value: str, tz: Column, order: Column, out: st
     for kind, (pattern, _) in PATTERNS.items():
         branch = (text.rlike(pattern), _parts(text, kind, F.col("_ord")))
         cascade = F.when(*branch) if cascade is None else cascade.when(*branch)
-    step = step.withColumn("_p", cascade)
+    # a generator of one row keeps the optimizer from copying the cascade into every field
+    step = step.withColumn("_p", F.explode(F.array(cascade)))
     p = {g: F.col(f"_p.{name}") for g, name in _FIELD.items()}
     half = F.lower(p["h"])
-    step = step.withColumns({
+    checked = F.struct(*[c.alias(name) for name, c in {
         "_y": _int(p["y"]), "_m": _int(p["m"]), "_d": _int(p["d"]), "_h0": F.coalesce(_int(p["H"]), F.lit(0)),
         "_mi": F.coalesce(_int(p["M"]), F.lit(0)), "_s": F.coalesce(_int(p["S"]), F.lit(0)), "_half": half,
         "_us": F.rpad(F.substring(p["f"], 1, 6), 6, "0").try_cast("long"), "_off": _offset_us(p["z"]), "_z": p["z"],
-    })
+    }.items()])
+    step = step.withColumn("_c", F.explode(F.array(checked))).select("*", "_c.*")
     y, m, d, h0, mi, s = (F.col(c) for c in ("_y", "_m", "_d", "_h0", "_mi", "_s"))
     good_hour = F.when(F.col("_half") == "", h0 <= 23).otherwise((h0 >= 1) & (h0 <= 12))
     hour = F.when(F.col("_half") == "p", h0 % 12 + 12).when(F.col("_half") == "a", h0 % 12).otherwise(h0)
