@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import garbled, leaks, mixture, near_duplicates, neighbours
+from tidemark.llm import garbled, leaks, mixture, near_duplicates, neighbours, pairs, truncation
 from tidemark.sources.tables import load
 
 
@@ -16,10 +16,22 @@ def p1_groups(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicates.duplicate_groups(load(spark, d, "unified_knowledge"), "id", "content")
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.broken_values(load(spark, d, "interaction_log"))
+
+
+def p5_rates(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.broken_rates(load(spark, d, "interaction_log"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.similar_entries(load(spark, d, "knowledge_embeddings"))
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.defects(load(spark, d, "interaction_log"), load(spark, d, "documents"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaked_items(load(spark, d, "documents"), load(spark, d, "eval_items"))
 
@@ -41,7 +53,9 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = (p1_found, p1_groups, p6_found, p8_found, p8_items, p9_shares, p9_draws, p10_found)
+    found = (
+        p1_found, p1_groups, p5_found, p5_rates, p6_found, p7_found, p8_found, p8_items, p9_shares, p9_draws, p10_found,
+    )
     return {f.__name__: f for f in found}
 
 
