@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(master: str = "local[*]", app: str = "tidemark", **conf: str) -> SparkSession:
@@ -49,3 +50,19 @@ def materialise(df: DataFrame, name: str = "stage") -> DataFrame:
     path = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def bounded_sample(df: DataFrame, key: str, rows: int, seed: int) -> DataFrame:
+    """At most ``rows`` rows of ``df``, chosen by the hash of ``key``: the same ones at every
+    run and under any partitioning.
+
+    A top-n sends n rows of every task to the driver, so most rows are filtered by their
+    hash first; what arrives is about twice the sample, however many tasks there are."""
+    total = df.count()
+    if not total:
+        return df.limit(0)
+    # twice the wanted share, so that fewer than ``rows`` are left only in tiny tables
+    cells = 1_000_003
+    most = cells if total <= 4 * rows else max(1, round(cells * 2 * rows / total))
+    cell = F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(cells))
+    return df.filter(cell < most).orderBy(F.xxhash64(key, F.lit(seed)), key).limit(rows)

@@ -38,7 +38,7 @@ def sessions(events: DataFrame, time: str, key: str, gap: str = "30 minutes", la
 def rate_windows(events: DataFrame, time: str, key: str, order: str, seconds: int = 60, limit: int = 60) -> DataFrame:
     """Batch: per event the number of the key's events in the ``seconds`` before it, and
     whether it is beyond the limit."""
-    us = F.unix_micros(F.col(time))
+    us = F.unix_micros(F.col(time).cast("timestamp"))
     before = Window.partitionBy(key).orderBy(us).rangeBetween(-seconds * 1_000_000, -1)
     return events.withColumn("recent", F.count(F.lit(1)).over(before)).withColumn("over", F.col("recent") >= limit).select(
         order, key, "recent", "over"
@@ -83,7 +83,7 @@ def admissions(events: DataFrame, time: str, key: str, seconds: int = 60, limit:
         state.update((held,))
         yield pd.DataFrame(out, columns=["key", "id", "admitted"])
 
-    slim = events.select(F.col(key).alias("key"), F.col("event_id").alias("id"), F.unix_micros(time).alias("us"))
+    slim = events.select(F.col(key).alias("key"), F.col("event_id").alias("id"), F.unix_micros(F.col(time).cast("timestamp")).alias("us"))
     return slim.groupBy("key").applyInPandasWithState(
         admit, "key long, id long, admitted boolean", "held array<long>", "append", GroupStateTimeout.NoTimeout
     )
