@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.session import materialise
+from tidemark.session import bounded_sample, materialise
 
 CURVES, WINDOW, AXES, BITS, SAMPLE, SEED = 20, 32, 16, 3, 20_000, 17
 #: Rows of one range of a curve.
@@ -191,7 +191,7 @@ def candidate_pairs(
     """(a, b, cosine), a < b, distinct: rows within a window on some curve, cosine >= floor."""
     reps = materialise(reps, "vectors")
     n = reps.count()
-    sample = reps.orderBy(F.xxhash64("id", F.lit(SEED))).limit(SAMPLE).select("dim", "vec").collect() if n else []
+    sample = bounded_sample(reps, "id", SAMPLE, SEED).select("dim", "vec").collect() if n else []
     parts = max(1, -(-n // range_rows))
     lay, laid = _lay(_cuts([(r.dim, r.vec) for r in sample], parts))
     tasks = max(1, min(parts * CURVES, 4_000))
