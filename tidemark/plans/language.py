@@ -169,8 +169,12 @@ def entities_of_documents(spark, d):
 @query()
 def entity_pair_counts(spark, d):
     """How many memories name two entities, with the relation they name first."""
-    rows = load(spark, d, "unified_knowledge").filter(F.length("content") > 20).select("id", "content", F.explode(patterns.entity_pairs(F.col("content"))).alias("p"))
-    named = rows.select(F.col("p.a").alias("entity_a"), F.col("p.b").alias("entity_b"), patterns.relation(F.col("content"), F.col("p.a"), F.col("p.b")).alias("relation_type"))
+    docs = load(spark, d, "unified_knowledge").filter(F.length("content") > 20).select(F.lower("content").alias("low"), "content")
+    rows = docs.withColumn("held", patterns.relation_keywords(F.col("low"))).withColumn("p", F.explode(patterns.entity_pairs(F.col("content"))))
+    named = rows.select(
+        F.col("p.a").alias("entity_a"), F.col("p.b").alias("entity_b"),
+        patterns.relation(F.col("low"), F.col("held"), F.lower("p.a"), F.lower("p.b")).alias("relation_type"),
+    )
     return named.groupBy("entity_a", "entity_b", "relation_type").agg(F.count(F.lit(1)).alias("n"))
 
 
