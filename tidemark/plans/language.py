@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import patterns, scores, text
-from tidemark.operators import lifecycle, mining, retrieval
+from tidemark.operators import composite, graph, lifecycle, mining, retrieval
 from tidemark.plans.registry import Registry
 from tidemark.sources.tables import load
 
@@ -202,6 +202,34 @@ def note_metrics(spark, d):
     return rows.select("id", "m.*")
 
 
+@query()
+def enhanced_search(spark, d):
+    return composite.enhanced(load(spark, d, "unified_knowledge"), "Why did the storage team not move Quillbase before the review", 15)
+
+
+@query()
+def hybrid_search(spark, d):
+    vectors = load(spark, d, "knowledge_embeddings").filter((F.col("embed_dim") == 64) & (F.size("embedding") == 64))
+    usable = vectors.filter(F.forall("embedding", lambda x: F.abs(x) < float("inf")) & F.exists("embedding", lambda x: x != 0))
+    first = usable.orderBy("entry_id").select("embedding").first()
+    edges = graph.accumulate(load(spark, d, "entity_relations"))
+    return composite.hybrid(load(spark, d, "unified_knowledge"), usable, edges, "Which review did Lumifold block", list(first[0]) if first else [1.0] * 64, "u0001", 10)
+
+
+@query()
+def context_text(spark, d):
+    docs = load(spark, d, "unified_knowledge")
+    hits = retrieval.bm25(docs, SEARCHES[:1], "id", "content").join(docs.select("id", "content"), "id")
+    return composite.context(hits, [F.col("score").desc(), F.col("id")])
+
+
+@query()
+def embedded_documents(spark, d):
+    docs = load(spark, d, "documents").select("doc_id", "text")
+    rows = composite.embedded(docs, "text", composite.HashingEmbedder(64))
+    return rows.select("doc_id", F.size("embedding").alias("dim"), F.round(scores.dot(F.col("embedding"), F.col("embedding")), 4).alias("norm"))
+
+
 def queries() -> dict:
     return R.queries
 

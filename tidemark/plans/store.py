@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import scores, text
-from tidemark.operators import graph, lifecycle, mining, retrieval
+from tidemark.operators import composite, graph, lifecycle, mining, retrieval
 from tidemark.plans.registry import Registry
 from tidemark.sources.snapshots import json_lines
 from tidemark.sources.tables import load
@@ -442,6 +442,31 @@ def confidence_fold(spark, d):
     )
 
 
+@query("""SELECT 'pile' AS kind, user_id, count(*) AS n FROM unified_knowledge WHERE status = 'active' AND layer = 'instant' GROUP BY user_id HAVING count(*) > 10
+UNION ALL SELECT 'rejected', user_id, count(*) FROM unified_knowledge WHERE status = 'active' AND negative_feedback > positive_feedback + 3 GROUP BY user_id HAVING count(*) > 3
+UNION ALL SELECT 'conflicts', user_id, count(DISTINCT id) FROM feedback_log WHERE feedback_type = 'system_conflict' GROUP BY user_id""")
+def alerts(spark, d):
+    return composite.alerts(load(spark, d, "unified_knowledge"), load(spark, d, "feedback_log"))
+
+
+@query("""SELECT id, CASE WHEN status = 'conflict' THEN 'superseded' WHEN positive_feedback - 2 * negative_feedback <= -20 AND status = 'active' THEN 'superseded' ELSE status END AS status, CASE WHEN positive_feedback - 2 * negative_feedback <= -20 AND status = 'active' THEN id + 1000000000 ELSE replaced_by END AS replaced_by, replaces, content FROM unified_knowledge
+UNION ALL SELECT id + 1000000000, 'active', NULL, id, content || ' (revised)' FROM unified_knowledge WHERE positive_feedback - 2 * negative_feedback <= -20 AND status = 'active'""")
+def superseded_state(spark, d):
+    state = load(spark, d, "unified_knowledge")
+    bad = (scores.weight(F.col("positive_feedback"), F.col("negative_feedback")) <= -20) & (F.col("status") == "active")
+    changes = state.filter(bad).select("id", (F.col("id") + 1_000_000_000).alias("new_id"), F.concat("content", F.lit(" (revised)")).alias("content"))
+    return composite.superseded(state, changes, F.lit("2025-10-01 00:00:00").cast("timestamp_ntz")).select("id", "status", "replaced_by", "replaces", "content")
+
+
+@query("""WITH h AS (SELECT k.id, count(*) AS n FROM (SELECT DISTINCT id, knowledge_id FROM feedback_log) f JOIN unified_knowledge k ON k.id = f.knowledge_id GROUP BY k.id)
+SELECT k.id, round(coalesce(TRY_CAST(json_extract_string(CASE WHEN json_valid(k.domain_scores) THEN k.domain_scores END, '$.rule') AS DOUBLE), 0) + coalesce(h.n, 0), 6) AS rule FROM unified_knowledge k LEFT JOIN h ON h.id = k.id""")
+def domain_hits(spark, d):
+    hits = load(spark, d, "feedback_log").filter(F.col("knowledge_id").isNotNull()).select("id", F.col("knowledge_id")).distinct()
+    hits = hits.select(F.col("knowledge_id").alias("id"), F.lit("rule").alias("domain"))
+    rows = composite.domain_hits(load(spark, d, "unified_knowledge"), hits)
+    return rows.select("id", F.round(F.coalesce(F.try_element_at("scores", F.lit("rule")), F.lit(0.0)), 6).alias("rule"))
+
+
 def queries() -> dict:
     return R.queries
 
