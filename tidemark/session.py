@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -41,13 +43,35 @@ def shared_dir(spark: SparkSession) -> str:
     return local
 
 
+_FOLDERS: set[str] = set()
+
+
+def _work_folder(spark: SparkSession) -> str:
+    """This application's own folder below the shared one, removed when Python ends."""
+    path = os.path.join(shared_dir(spark), f"tidemark-{spark.sparkContext.applicationId}")
+    if path not in _FOLDERS:
+        _FOLDERS.add(path)
+        atexit.register(_remove, spark, path)
+    return path
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(conf).delete(target, True)
+    except Exception:
+        # the JVM may be gone already; a local folder can still be removed
+        shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
+
+
 def materialise(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` once to the shared folder as Parquet and read it back.
 
     Unlike a cached or locally checkpointed plan, the files outlive any executor, and the
     reader sees column statistics.  An empty result keeps its schema."""
     spark = df.sparkSession
-    path = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    path = os.path.join(_work_folder(spark), f"{name}-{uuid.uuid4().hex}")
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
