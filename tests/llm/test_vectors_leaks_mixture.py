@@ -35,6 +35,38 @@ def test_pairs_against_brute_force(spark):
     assert neighbours.similar_entries(df.limit(0)).count() == 0
 
 
+def vectors(spark, rows):
+    return spark.createDataFrame([(i, v, len(v)) for i, v in rows], "entry_id long, embedding array<float>, embed_dim int")
+
+
+def test_tight_cluster_of_a_third_of_the_rows(spark):
+    rng = np.random.default_rng(4)
+    centre = rng.normal(size=64)
+    rows = [(i, (centre + 0.2 * rng.normal(size=64) if i % 3 == 0 else rng.normal(size=64)).tolist()) for i in range(4500)]
+    got = {tuple(r) for r in neighbours.similar_entries(vectors(spark, rows)).collect()}
+    assert got == brute_top(rows)
+
+
+def test_exact_blocks_of_several_leaders_and_dimensions(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for dim in (24, 64):
+        for _ in range(3):
+            centre = rng.normal(size=dim)
+            rows += [(len(rows) + j, (centre + 0.3 * rng.normal(size=dim)).tolist()) for j in range(150)]
+    reps = spark.createDataFrame([(i, len(v), v) for i, v in rows], "id long, dim int, vec array<float>")
+    got = neighbours.crowded_pairs(reps, reps.select("id"), 5, 0.9, homes=40).select("a", "b").distinct()
+    assert {tuple(r) for r in got.collect()} == brute_top(rows)
+    assert neighbours.crowded_pairs(reps, reps.select("id").limit(0), 5, 0.9) is None
+
+
+def test_one_direction_in_many_lengths_is_one_class(spark):
+    base = np.random.default_rng(6).integers(-9, 10, size=64).astype(float)
+    rows = [(i, (base * (i + 1)).tolist()) for i in range(120)] + [(500, np.abs(base[::-1]).tolist())]
+    got = {tuple(r) for r in neighbours.similar_entries(vectors(spark, rows)).collect()}
+    assert got == brute_top(rows)
+
+
 def test_hilbert_neighbours_touch():
     grid = np.stack(np.meshgrid(np.arange(8), np.arange(8)), -1).reshape(-1, 2)
     keys = neighbours.hilbert_keys(grid, 3)

@@ -7,10 +7,19 @@ with cuts taken from a bounded sample (``SAMPLE`` rows; it only balances tasks,
 is indexed), sorted, and each row meets the ``WINDOW`` rows after it: one small matrix
 product per block of rows.  Candidates of all curves merge and are ranked by exact cosine.
 
-Equal vectors are one class beforehand, so copies held by a third of all rows are one row
-on the curves; a class keeps its few smallest ids, which are all that ties can ask for.
-Keys that many different vectors share are spread over several tasks by the hash of the id.
-A row has at most 2 * WINDOW * CURVES candidates, so no later group is unbounded.
+Vectors of one direction are one class beforehand, so copies held by a third of all rows, in
+any length, are one row on the curves; a class keeps its few smallest ids, which are all that
+ties can ask for.  Keys that many different vectors share are spread over several tasks by the
+hash of the id.
+
+Where vectors lie dense, a window holds only some of the similar ones.  A row is crowded if on
+some curve at least ``CROWD`` of the window before or after it is within twice the angle of the
+floor; crowded rows are compared exactly (``crowded_pairs``).  Leaders from rounds of bounded
+samples cover all crowded rows, each is at home with its nearest leader, and every row within a
+leader's radius plus the angle of the floor, which no similar row can exceed, is sent there.
+The homes of a leader are split into blocks of ``HOMES`` rows, so a dense group of n rows costs
+n * n products, in tasks of bounded memory.  Other rows have at most 2 * WINDOW * CURVES
+candidates.
 
 Defined cases: null, short, non-finite, all-zero vectors and such with a null or wrong
 dimension are left out; different dimensions never compare; ties go to the smaller id;
@@ -32,6 +41,8 @@ CURVES, WINDOW, AXES, BITS, SAMPLE, SEED = 20, 32, 16, 3, 20_000, 17
 #: Rows of one range of a curve.
 RANGE_ROWS = 25_000
 _BLOCK = 192
+#: Share of a window that makes a row crowded, and crowded rows of one block of exact comparison.
+CROWD, HOMES = 0.75, 4_000
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -140,22 +151,36 @@ def _lay(cuts: dict[tuple[int, int], np.ndarray]):
     return lay, "curve int, dim int, part int, key long, id long, raw binary"
 
 
+def _near(floor: float) -> float:
+    """Cosine of twice the angle of ``floor``."""
+    return float(np.cos(min(np.pi, 2 * np.arccos(min(1.0, max(-1.0, floor))))))
+
+
 def _windows(window: int, floor: float):
-    """Arrow function over rows sorted by (curve, dim, part, key): pairs within the window."""
+    """Arrow function over rows sorted by (curve, dim, part, key): pairs within the window, and
+    (id, id, 1) for crowded rows."""
+    near, full = _near(floor), max(1, round(CROWD * window))
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("cosine", pa.float64())])
 
-    def pairs(ids: np.ndarray, raw: np.ndarray, fresh: int) -> Iterator[pa.RecordBatch]:
-        """Pairs of a run of rows; the first ``fresh`` rows already met one another."""
+    def pairs(ids: np.ndarray, raw: np.ndarray, fresh: int, after: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Pairs of a run of rows; the first ``fresh`` rows already met one another.  ``after``
+        counts the near rows in the window after each."""
+        before = np.zeros(len(ids), np.int64)
         unit = _unit(raw)
         quick = unit.astype(np.float32)
         for at in range(0, len(ids), _BLOCK):
             end = min(at + _BLOCK, len(ids))
             far = min(end + window, len(ids))
-            close = quick[at:end] @ quick[at:far].T >= floor - 1e-4
-            r, c = np.nonzero(close)
+            product = quick[at:end] @ quick[at:far].T
+            r, c = np.nonzero(product >= min(near, floor - 1e-4))
             gap = c - r
             keep = (gap > 0) & (gap <= window) & (c + at >= fresh)
-            r, c = r[keep] + at, c[keep] + at
+            r, c = r[keep], c[keep]
+            value = product[r, c]
+            r, c = r + at, c + at
+            after += np.bincount(r[value >= near], minlength=len(ids))
+            before += np.bincount(c[value >= near], minlength=len(ids))
+            r, c = r[value >= floor - 1e-4], c[value >= floor - 1e-4]
             if len(r):
                 exact = np.round(np.einsum("ij,ij->i", unit[r], unit[c]), 6)
                 ok = exact >= floor
@@ -163,9 +188,11 @@ def _windows(window: int, floor: float):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(exact[ok])], schema=schema
                 )
+        crowded = pa.array(ids[(after >= full) | (before >= full)])
+        yield pa.RecordBatch.from_arrays([crowded, crowded, pa.array(np.ones(len(crowded)))], schema=schema)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: tuple | None = None  # group, ids, raw of the last rows of the open run
+        kept: tuple | None = None  # group, ids, raw, near rows after, of the last rows of the open run
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -176,19 +203,19 @@ def _windows(window: int, floor: float):
             for lo, hi in zip(starts[:-1], starts[1:]):
                 tag, dim = tuple(group[lo]), int(group[lo, 1])
                 raw = np.frombuffer(b"".join(blobs.slice(lo, hi - lo).to_pylist()), np.float32).reshape(-1, dim)
-                here, fresh = ids[lo:hi], 0
+                here, fresh, after = ids[lo:hi], 0, np.zeros(hi - lo, np.int64)
                 if kept is not None and kept[0] == tag:
                     here, raw, fresh = np.r_[kept[1], here], np.concatenate([kept[2], raw]), len(kept[1])
-                yield from pairs(here, raw, fresh)
-                kept = (tag, here[-window:], raw[-window:])
+                    after = np.r_[kept[3], after]
+                yield from pairs(here, raw, fresh, after)
+                kept = (tag, here[-window:], raw[-window:], after[-window:])
 
     return walk, "a long, b long, cosine double"
 
 
-def candidate_pairs(
-    reps: DataFrame, floor: float, window: int = WINDOW, range_rows: int = RANGE_ROWS
-) -> DataFrame:
-    """(a, b, cosine), a < b, distinct: rows within a window on some curve, cosine >= floor."""
+def _meetings(reps: DataFrame, floor: float, window: int, range_rows: int) -> DataFrame:
+    """(a, b, cosine), a <= b, distinct: rows within a window on some curve, cosine >= floor;
+    a = b marks a crowded row."""
     reps = materialise(reps, "vectors")
     n = reps.count()
     sample = bounded_sample(reps, "id", SAMPLE, SEED).select("dim", "vec").collect() if n else []
@@ -202,15 +229,232 @@ def candidate_pairs(
     return rows.mapInArrow(walk, walked).groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
 
 
+def candidate_pairs(
+    reps: DataFrame, floor: float, window: int = WINDOW, range_rows: int = RANGE_ROWS
+) -> DataFrame:
+    """(a, b, cosine), a < b, distinct: rows within a window on some curve, cosine >= floor."""
+    return _meetings(reps, floor, window, range_rows).filter(F.col("a") < F.col("b"))
+
+
+def _leaders(sample: list, near: float) -> dict[int, np.ndarray]:
+    """By dimension, unit vectors such that every sampled one is near one of them."""
+    by_dim: dict[int, list] = {}
+    for dim, vec in sample:
+        by_dim.setdefault(dim, []).append(vec)
+    out = {}
+    for dim, vecs in by_dim.items():
+        unit, chosen = _unit(np.asarray(vecs, dtype=np.float32)), []
+        open_ = np.ones(len(unit), bool)
+        for i in range(len(unit)):
+            if open_[i]:
+                chosen.append(i)
+                open_ &= unit @ unit[i] < near
+                open_[i] = False
+        out[dim] = unit[chosen]
+    return out
+
+
+def _vectors(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(dim, ids, raw) of each dimension of a batch of (id, dim, vec)."""
+    ids, dims = batch["id"].to_numpy(zero_copy_only=False), batch["dim"].to_numpy(zero_copy_only=False)
+    flat, offsets = batch["vec"].values.to_numpy(zero_copy_only=False), batch["vec"].offsets.to_numpy()
+    for dim in np.unique(dims):
+        rows = np.nonzero(dims == dim)[0]
+        yield int(dim), ids[rows], np.stack([flat[offsets[r]:offsets[r] + dim] for r in rows]).astype(np.float32)
+
+
+def _housed(leaders: dict[int, np.ndarray], near: float):
+    """Arrow function: (id, dim, vec) -> (id, leader, angle), leader -1 where none is near."""
+    schema = pa.schema([("id", pa.int64()), ("leader", pa.int32()), ("angle", pa.float64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for dim, ids, raw in _vectors(batch):
+                best, cosine = np.full(len(ids), -1, np.int32), np.full(len(ids), -1.0)
+                if dim in leaders:
+                    unit = _unit(raw)
+                    for at in range(0, len(ids), _BLOCK):
+                        part = unit[at:at + _BLOCK] @ leaders[dim].T
+                        best[at:at + _BLOCK], cosine[at:at + _BLOCK] = part.argmax(axis=1), part.max(axis=1)
+                    best = np.where(cosine >= near, best, -1).astype(np.int32)
+                angle = np.arccos(np.clip(cosine, -1, 1))
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(best), pa.array(angle)], schema=schema)
+
+    return run, "id long, leader int, angle double"
+
+
+def _sent(leaders: dict[int, np.ndarray], reach: dict[int, np.ndarray], blocks: dict[int, np.ndarray]):
+    """Arrow function: (id, dim, vec) -> one row per block of each leader in reach."""
+    schema = pa.schema([("dim", pa.int32()), ("leader", pa.int32()), ("block", pa.int32()), ("guest", pa.bool_()),
+                        ("id", pa.int64()), ("raw", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for dim, ids, raw in _vectors(batch):
+                if dim not in leaders:
+                    continue
+                unit, blob = _unit(raw), np.array([r.tobytes() for r in raw], dtype=object)
+                for at in range(0, len(ids), _BLOCK):
+                    cosine = np.clip(unit[at:at + _BLOCK] @ leaders[dim].T, -1, 1)
+                    r, leader = np.nonzero(np.arccos(cosine) <= reach[dim])
+                    many = blocks[dim][leader]
+                    block = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                    r, leader = np.repeat(r, many) + at, np.repeat(leader, many)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(r), dim, np.int32)), pa.array(leader.astype(np.int32)), pa.array(block.astype(np.int32)),
+                         pa.array(np.ones(len(r), bool)), pa.array(ids[r]), pa.array(blob[r], pa.binary())], schema=schema
+                    )
+
+    return run, "dim int, leader int, block int, guest boolean, id long, raw binary"
+
+
+def _exact(k: int, floor: float):
+    """Arrow function over rows sorted by (dim, leader, block, guest, id): pairs of each home
+    with its ``k`` most similar guests, ties to the smaller id."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("cosine", pa.float64())])
+
+    class Block:
+        def __init__(self) -> None:
+            self.ids, self.raw, self.unit, self.met = [], [], None, 0
+
+        def meet(self, ids: np.ndarray, raw: np.ndarray) -> None:
+            if self.unit is None:
+                self.home, self.unit = np.concatenate(self.ids), _unit(np.concatenate(self.raw))
+                self.cosine = np.full((len(self.home), k), -2.0)
+                self.other = np.full((len(self.home), k), -1, np.int64)
+            unit, at = _unit(raw), 0
+            while at < len(ids):
+                # few at first, so that most of the later ones stay below the k-th best
+                end = min(len(ids), at + min(1024, max(64, self.met)))
+                self.step(ids[at:end], unit[at:end])
+                self.met, at = self.met + end - at, end
+
+        def step(self, ids: np.ndarray, unit: np.ndarray) -> None:
+            value = self.unit @ unit.T
+            place = np.minimum(np.searchsorted(self.home, ids), len(self.home) - 1)
+            same = self.home[place] == ids
+            value[place[same], np.nonzero(same)[0]] = -3.0
+            # guests come by id, so an equal one that comes later has the larger id
+            least = np.maximum(floor, self.cosine[:, -1])
+            r, c = np.nonzero(value >= least[:, None] - 1e-6)
+            exact = np.round(value[r, c], 6)
+            ok = (exact >= floor) & (exact > self.cosine[r, -1])
+            r, c, exact = r[ok], c[ok], exact[ok]
+            if not len(r):
+                return
+            rows = np.unique(r)
+            row = np.r_[np.repeat(rows, k), r]
+            cosine, other = np.r_[self.cosine[rows].ravel(), exact], np.r_[self.other[rows].ravel(), ids[c]]
+            order = np.lexsort((other, -cosine, row))
+            row, cosine, other = row[order], cosine[order], other[order]
+            first = np.r_[True, row[1:] != row[:-1]]
+            rank = np.arange(len(row)) - np.maximum.accumulate(np.where(first, np.arange(len(row)), 0))
+            keep = rank < k
+            self.cosine[rows], self.other[rows] = cosine[keep].reshape(-1, k), other[keep].reshape(-1, k)
+
+        def found(self) -> Iterator[pa.RecordBatch]:
+            if self.unit is None:
+                return
+            r, c = np.nonzero(self.cosine >= floor)
+            x, y = self.home[r], self.other[r, c]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(self.cosine[r, c])], schema=schema
+            )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tag, block = None, Block()
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            group = np.stack([batch[c].to_numpy(zero_copy_only=False).astype(np.int64) for c in ("dim", "leader", "block", "guest")], axis=1)
+            ids, blobs = batch["id"].to_numpy(zero_copy_only=False), batch["raw"]
+            starts = np.r_[0, np.nonzero((group[1:] != group[:-1]).any(axis=1))[0] + 1, len(ids)]
+            for lo, hi in zip(starts[:-1], starts[1:]):
+                if tag != tuple(group[lo, :3]):
+                    yield from block.found()
+                    tag, block = tuple(group[lo, :3]), Block()
+                raw = np.frombuffer(b"".join(blobs.slice(lo, hi - lo).to_pylist()), np.float32).reshape(-1, int(group[lo, 0]))
+                if not group[lo, 3]:
+                    block.ids.append(ids[lo:hi])
+                    block.raw.append(raw)
+                elif block.ids:
+                    block.meet(ids[lo:hi], raw)
+        yield from block.found()
+
+    return run, "a long, b long, cosine double"
+
+
+def crowded_pairs(reps: DataFrame, crowded: DataFrame, k: int, floor: float, homes: int = HOMES) -> DataFrame | None:
+    """(a, b, cosine), a < b: every row of ``crowded`` (id) with its ``k`` most similar others of
+    all ``reps`` with cosine >= floor, exactly; None if there are no crowded rows."""
+    near, alpha = _near(floor), float(np.arccos(floor))
+    rest = materialise(reps.join(crowded, "id", "left_semi"), "crowded")
+    out = None
+    while rest.count():
+        # every round covers at least its sample
+        leaders = _leaders([(r.dim, r.vec) for r in bounded_sample(rest, "id", SAMPLE, SEED).select("dim", "vec").collect()], near)
+        run, kind = _housed(leaders, near)
+        housed = materialise(rest.join(rest.select("id", "dim", "vec").mapInArrow(run, kind), "id"), "housed")
+        rest = housed.filter(F.col("leader") < 0).select("id", "dim", "vec")
+        housed = housed.filter(F.col("leader") >= 0)
+        reach = {d: np.full(len(m), -1.0) for d, m in leaders.items()}
+        blocks = {d: np.zeros(len(m), np.int64) for d, m in leaders.items()}
+        for r in housed.groupBy("dim", "leader").agg(F.count(F.lit(1)).alias("n"), F.max("angle").alias("angle")).collect():
+            # the arc cosine of a cosine near 1 is exact to 1e-7 only
+            reach[r.dim][r.leader], blocks[r.dim][r.leader] = r.angle + alpha + 1e-6, -(-r.n // homes)
+        many = reps.sparkSession.createDataFrame(
+            [(int(d), i, int(n)) for d, b in blocks.items() for i, n in enumerate(b) if n], "dim int, leader int, blocks int")
+        run, kind = _sent(leaders, reach, blocks)
+        guests = reps.select("id", "dim", "vec").mapInArrow(run, kind)
+        raw, kind = _packed()
+        at_home = housed.join(many, ["dim", "leader"]).select(
+            "dim", "leader", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), "id", "vec"
+        ).mapInArrow(raw, kind)
+        tasks = max(1, min(sum(int(b.sum()) for b in blocks.values()), 4_000))
+        rows = at_home.unionByName(guests).repartition(tasks, "dim", "leader", "block").sortWithinPartitions(
+            "dim", "leader", "block", "guest", "id"
+        )
+        run, kind = _exact(k, floor)
+        part = materialise(rows.mapInArrow(run, kind), "exact")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _packed():
+    """Arrow function: (dim, leader, block, id, vec) -> rows at home in the form of ``_sent``."""
+    schema = pa.schema([("dim", pa.int32()), ("leader", pa.int32()), ("block", pa.int32()), ("guest", pa.bool_()),
+                        ("id", pa.int64()), ("raw", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat, offsets = batch["vec"].values.to_numpy(zero_copy_only=False).astype(np.float32), batch["vec"].offsets.to_numpy()
+            blob = pa.array([flat[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:])], pa.binary())
+            yield pa.RecordBatch.from_arrays(
+                [batch["dim"], batch["leader"], batch["block"], pa.array(np.zeros(batch.num_rows, bool)), batch["id"], blob], schema=schema
+            )
+
+    return run, "dim int, leader int, block int, guest boolean, id long, raw binary"
+
+
 def nearest(vectors: DataFrame, k: int = 5, floor: float = 0.9, window: int = WINDOW) -> DataFrame:
     """(id, other, cosine, place): up to ``k`` most similar others of every usable vector
     with cosine >= floor, place 1 the most similar, ties to the smaller id."""
-    rows = vectors.withColumns({"h1": F.xxhash64("vec"), "h2": F.hash("vec")})
+    # the quotients of equal directions are the same doubles; + 0.0 makes -0.0 one with 0.0.
+    # Arrays of one element bind a value, so that it is computed once
+    top = F.array(F.array_max(F.transform("vec", lambda x: F.abs(x.cast("double")))))
+    way = F.transform(top, lambda t: F.transform("vec", lambda x: x.cast("double") / t + 0.0))
+    hashes = F.transform(way, lambda w: F.struct(F.xxhash64(w).alias("h1"), F.hash(w).alias("h2")))
+    rows = vectors.withColumn("h", F.explode(hashes)).select(*vectors.columns, "h.h1", "h.h2")
     rows = materialise(rows.dropDuplicates(["id"]), "usable")
     group = ["dim", "h1", "h2"]
     heads = rows.groupBy(*group).agg(F.min("id").alias("cid"), F.min_by("vec", "id").alias("vec"))
     heads = materialise(heads, "heads")
-    links = materialise(candidate_pairs(heads.select(F.col("cid").alias("id"), "dim", "vec"), floor, window), "pairs")
+    reps = heads.select(F.col("cid").alias("id"), "dim", "vec")
+    met = materialise(_meetings(reps, floor, window, RANGE_ROWS), "pairs")
+    links = met.filter(F.col("a") < F.col("b"))
+    exact = crowded_pairs(reps, met.filter(F.col("a") == F.col("b")).select(F.col("a").alias("id")), k + 1, floor)
+    if exact is not None:
+        links = materialise(links.unionByName(exact).groupBy("a", "b").agg(F.max("cosine").alias("cosine")), "links")
     members = rows.select("id", *group).join(heads.select("cid", *group), group).select("id", "cid")
     members = materialise(members, "members")
     # the k + 1 smallest ids of a class are all that can be chosen of it
