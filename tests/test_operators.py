@@ -40,6 +40,18 @@ def test_traversal_is_undirected_and_bounded(spark):
     assert got == {"b": (1, 2.5), "c": (2, 2.0)}
 
 
+def test_mentions_are_substrings(spark):
+    docs = [(1, "我们的工作流程"), (2, "pre-Migration_plan of ÄRZTE"), (3, "migrations"), (4, None), (5, ""), (6, "workflow 工作 流"), (7, "a%b aXb"), (7, "a%b again"), (8, "aaab")]
+    names = ["工作流", "migration", "Migration", "ärzte", "a%b", "aab", "流", "n_p", "", None, "absent"]
+    d = spark.createDataFrame(docs, "id long, content string")
+    t = spark.createDataFrame([(n,) for n in names], "term string")
+    want = sorted({(n, i) for i, c in docs for n in names if n and c and n.lower() in c.lower()})
+    for size in (2_000_000, 5):
+        assert sorted(tuple(r) for r in graph.mentions(d, t, F.col("id"), F.col("content"), size).collect()) == want
+    assert ("工作流", 1) in want and ("migration", 2) in want and ("n_p", 2) in want
+    assert graph.mentions(d, t.limit(0), F.col("id"), F.col("content")).count() == 0
+
+
 def test_search_without_hits_and_with_nulls(spark):
     docs = spark.createDataFrame([(1, None), (2, ""), (3, "red door door"), (4, "blue door")], "id long, content string")
     got = retrieval.bm25(docs, [(1, "door red"), (2, "nothing"), (3, "")], "id", "content").collect()

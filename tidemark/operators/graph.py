@@ -7,11 +7,18 @@ distinct pairs, so a hub's sightings are one row per neighbour before the join.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from tidemark.operators.hot_keys import normal_name
 
+#: Characters of a term that are looked up at each place, and of all terms of one pass.
+PREFIX, BLOCK_CHARS = 3, 2_000_000
+
 
 def accumulate(sightings: DataFrame) -> DataFrame:
     """(entity_a, entity_b, relation_type, hit_count, weight): the state that upserting every
@@ -51,10 +58,52 @@ def traverse(edges: DataFrame, start: DataFrame, depth: int = 2, least: float =
     )
 
 
-def mentions(docs: DataFrame, terms: DataFrame, key: Column, text: Column) -> DataFrame:
-    """(term, id): documents that hold a term as words.  Both sides meet on the term's first
-    word, then the whole term is compared, so no pair is formed that shares no word."""
-    words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"([\p{L}\p{N}_-]+)"), F.lit(1))
-    first = terms.select("term", F.try_element_at(words(F.col("term")), F.lit(1)).alias("word")).filter(F.col("word").isNotNull())
-    bag = docs.select(key.alias("id"), F.lower(text).alias("body"), F.explode(F.array_distinct(words(text))).alias("word"))
-    return bag.join(first, "word").filter(F.col("body").contains(F.lower("term"))).select("term", "id").distinct()
+def _scan(terms: list[tuple[str, str]]):
+    """Arrow function: (id, body) -> (term, id) of every (term, lower-cased term) that is a substring of the body.
+    A table from the first ``PREFIX`` characters (all of a shorter term) to the terms by length
+    makes each place of a body a few lookups, however many terms share a prefix."""
+    table: dict[str, dict[int, dict[str, list[str]]]] = {}
+    for term, low in terms:
+        table.setdefault(low[:PREFIX], {}).setdefault(len(low), {}).setdefault(low, []).append(term)
+    sizes = sorted({len(p) for p in table})
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, found = [], []
+            for row, body in enumerate(batch["body"].to_pylist()):
+                held: dict[str, None] = {}
+                for size in sizes:
+                    for at in range(len(body) - size + 1):
+                        by_length = table.get(body[at:at + size])
+                        if by_length:
+                            for length, names in by_length.items():
+                                for name in names.get(body[at:at + length], ()):
+                                    held[name] = None
+                rows += [row] * len(held)
+                found += held
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), batch["id"].take(pa.array(rows, pa.int64()))], ["term", "id"])
+
+    return scan
+
+
+def mentions(docs: DataFrame, terms: DataFrame, key: Column, text: Column, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """(term, id): documents that hold a term, as LOWER(text) LIKE '%term%' with the term's
+    wildcards taken literally; null and empty terms are in none.  Terms go to the tasks in
+    blocks of about ``block_chars`` characters, one pass over the documents for each."""
+    bodies = docs.select(key.alias("id"), F.lower(text).alias("body")).filter(F.col("body").isNotNull())
+    schema = StructType([StructField("term", StringType()), StructField("id", bodies.schema["id"].dataType)])
+    named = terms.select("term", F.lower("term").alias("low")).filter(F.length("low") > 0).distinct()
+    out, block, chars = None, [], 0
+
+    def scanned() -> DataFrame:
+        part = bodies.mapInArrow(_scan(block), schema)
+        return part if out is None else out.unionByName(part)
+
+    for r in named.toLocalIterator():
+        if block and chars + len(r.low) > block_chars:
+            out, block, chars = scanned(), [], 0
+        block.append((r.term, r.low))
+        chars += len(r.low)
+    if block or out is None:
+        out = scanned()
+    return out.distinct()
