@@ -57,3 +57,18 @@ def test_relative_time(spark):
 def test_scores(spark):
     assert one(spark, scores.top_domain(scores.score_map(F.col("t"))), t='{"rule": 0.5, "workflow": 0.5}') == "workflow"
     assert one(spark, scores.top_domain(scores.score_map(F.col("t"))), t="broken {") is None
+
+
+def test_normal_forms_cover_every_language(spark, tmp_path):
+    import hashlib
+    import re
+
+    from tidemark.plans import language
+
+    rows = [(1, " <b>Größe</b>\n der  WELT ", "de"), (2, "<p>Été</p>\tÀ Lyon", "fr"), (3, "¿QUÉ  tal?", "es"), (4, "No <i>Language</i>", None), (5, "Plain", "en"), (6, "工作 <br> 流", "zh"), (7, None, "de")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    want = {}
+    for i, t, _ in rows:
+        normal = None if t is None else re.sub(r"\s+", " ", re.sub(r"<[^>]+>", "", t)).strip().lower()
+        want[i] = (normal, None if t is None else hashlib.sha256(normal.encode()).hexdigest()[:16])
+    assert {r.doc_id: (r.normal, r.hash) for r in language.normal_forms(spark, str(tmp_path)).collect()} == want

@@ -86,7 +86,7 @@ def rerank_scores(spark, d):
 
 @query(r"""SELECT doc_id, lower(trim(regexp_replace(regexp_replace(text, '<[^>]+>', '', 'g'), '\s+', ' ', 'g'))) AS normal, substr(sha256(lower(trim(regexp_replace(regexp_replace(text, '<[^>]+>', '', 'g'), '\s+', ' ', 'g')))), 1, 16) AS hash FROM documents WHERE lang IN ('en', 'zh')""")
 def normal_forms(spark, d):
-    return load(spark, d, "documents").filter(F.col("lang").isin("en", "zh")).select(
+    return load(spark, d, "documents").select(
         "doc_id", text.normal_form(F.col("text")).alias("normal"), text.content_hash(F.col("text")).alias("hash")
     )
 
