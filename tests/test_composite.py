@@ -26,6 +26,21 @@ def test_context_keeps_the_budget_and_first_beginnings(spark):
     assert composite.context(rows.limit(0), [F.col("score")]).first().context == ""
 
 
+def test_full_text_branch_finds_what_invisible_rows_outrank(spark):
+    rows = [(i, "quillbase", "active", "other") for i in range(60)] + [(i, "quillbase", "superseded", "me") for i in range(60, 120)]
+    rows += [(200, "quillbase in a much longer text of many words", "active", "me"), (201, "quillbase in another still much longer text of many more words", "active", "default")]
+    rows += [(i, f"filler number {i}", "active", "me") for i in range(300, 700)]
+    docs = spark.createDataFrame([(*r, 0, 0, "instant") for r in rows], "id long, content string, status string, user_id string, positive_feedback long, negative_feedback long, layer string")
+    vectors = spark.createDataFrame([], "entry_id long, embedding array<float>")
+    edges = spark.createDataFrame([], "entity_a string, entity_b string, relation_type string, weight double")
+    got = composite.hybrid(docs, vectors, edges, "quillbase", [1.0], "me", 2).collect()
+    assert [(r.id, r.source, r.place) for r in got] == [(200, "fts", 1), (201, "fts", 2)]
+    # scores are those of all rows, not of the visible ones
+    every = {r.id: r.score for r in composite.enhanced(docs, "quillbase", 200).collect()}
+    within = composite.enhanced(docs, "quillbase", 1, docs.filter("id > 150").select("id")).collect()
+    assert [(r.id, r.score) for r in within] == [(200, every[200])]
+
+
 def test_hashing_embedder_is_unit_length(spark):
     rows = composite.embedded(spark.createDataFrame([("one two",), (None,)], "t string"), "t", composite.HashingEmbedder(16)).collect()
     assert abs(sum(x * x for x in rows[0].embedding) - 1) < 1e-6 and not any(rows[1].embedding)

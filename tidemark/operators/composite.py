@@ -82,10 +82,13 @@ def without_negation(query: str) -> str | None:
     return " ".join(re.sub(NEGATED_QUERY, " ", query).split())
 
 
-def enhanced(docs: DataFrame, query: str, k: int) -> DataFrame:
-    """(id, score): best score over the query's variants, and its plain form if negated."""
+def enhanced(docs: DataFrame, query: str, k: int, within: DataFrame | None = None) -> DataFrame:
+    """(id, score): best score over the query's variants, and its plain form if negated.  The
+    best ``k`` are taken of the ids of ``within`` (id) if given; statistics count all rows."""
     asked = variants(query) + [q for q in [without_negation(query)] if q]
     hits = retrieval.bm25(docs, list(enumerate(asked)), "id", "content")
+    if within is not None:
+        hits = hits.join(within, "id", "left_semi")
     return hits.groupBy("id").agg(F.max("score").alias("score")).orderBy(F.col("score").desc(), "id").limit(k)
 
 
@@ -104,7 +107,7 @@ def hybrid(docs: DataFrame, vectors: DataFrame, edges: DataFrame, query: str, ve
     near = retrieval.nearest_exact(vectors.join(seen.select(F.col("id").alias("entry_id")), "entry_id"), vector, 2 * k, "entry_id", "embedding")
     names = re.findall(r"\b[A-Z][A-Za-z0-9_/-]{2,40}\b", query)[:3]
     linked = by_graph(seen, edges, names).orderBy(F.col("score").desc(), "id").limit(2 * k)
-    words = enhanced(docs, query, 10 * k).join(seen.select("id"), "id").orderBy(F.col("score").desc(), "id").limit(2 * k)
+    words = enhanced(docs, query, 2 * k, seen.select("id"))
     merged = retrieval.merge_branches([("vector", near.withColumnRenamed("similarity", "score")), ("graph", linked), ("fts", words)])
     ranked = merged.join(seen.select("id", "positive_feedback", "negative_feedback", "layer"), "id").select("id", "source", scores.rerank_score(
         F.col("score"), F.col("positive_feedback"), F.col("negative_feedback"), F.col("layer")).alias("rerank"))
