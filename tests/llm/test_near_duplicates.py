@@ -59,6 +59,15 @@ def test_groups_and_links(spark):
     assert got == {1: (1, 2, 3), 2: (1, 2, 3), 3: (1, 1, 3), 4: (1, 1, 3), 5: (5, 1, 0)}
 
 
+def test_query_has_a_row_for_every_record(spark, tmp_path):
+    from tidemark.llm import queries
+
+    rows = [(1, "one two"), (2, "two one"), (3, None), (4, ""), (5, " -- !_"), (5, " -- !_"), (6, "压"), (7, "\u00b2"), (8, None), (8, "three")]
+    spark.createDataFrame(rows, "id long, content string").write.parquet(str(tmp_path / "unified_knowledge.parquet"))
+    got = [tuple(r) for r in queries.p1_groups(spark, str(tmp_path)).select("id", "group_id", "copies", "links").collect()]
+    assert sorted(got) == [(1, 1, 2, 1), (2, 1, 2, 1), *((i, i, 1, 0) for i in range(3, 9))]
+
+
 def test_components_of_a_long_path(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     got = {r.cid: r.root for r in nd.components(links).collect()}

@@ -229,3 +229,14 @@ def duplicate_groups(docs: DataFrame, key: str = "id", text: str = "content", th
         "id", F.coalesce("root", "cid").alias("group_id"), "copies",
         (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("links"),
     )
+
+
+def groups_of_all(docs: DataFrame, key: str = "id", text: str = "content", threshold: float = 0.8) -> DataFrame:
+    """``duplicate_groups`` and one row for every record without tokens, a group of its own."""
+    found = duplicate_groups(docs, key, text, threshold)
+    # a text has tokens if any character can be part of a run
+    has = F.lower(F.coalesce(F.col(text), F.lit(""))).rlike(r"[一-鿿\p{L}\p{N}]")
+    alone = docs.groupBy(F.col(key).alias("id")).agg(F.bool_or(has).alias("has")).filter(~F.col("has"))
+    return found.unionByName(alone.select(
+        "id", F.col("id").alias("group_id"), F.lit(1).cast("long").alias("copies"), F.lit(0).cast("long").alias("links")
+    ))

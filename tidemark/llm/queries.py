@@ -13,7 +13,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_groups(spark: SparkSession, d: str) -> DataFrame:
-    return near_duplicates.duplicate_groups(load(spark, d, "unified_knowledge"), "id", "content")
+    return near_duplicates.groups_of_all(load(spark, d, "unified_knowledge"), "id", "content")
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
