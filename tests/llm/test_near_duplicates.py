@@ -76,3 +76,27 @@ def test_components_of_a_long_path(spark):
 
 def test_empty(spark):
     assert pairs(spark, []) == set()
+
+
+def brute_at(rows, ten):
+    sets = {i: plain_tokens(t) for i, t in rows}
+    ids = sorted(i for i in sets if sets[i])
+    return {(a, b) for x, a in enumerate(ids) for b in ids[x + 1:] if 10 * len(sets[a] & sets[b]) >= ten * len(sets[a] | sets[b])}
+
+
+def test_low_thresholds_and_frequent_tokens(spark, monkeypatch):
+    monkeypatch.setattr(nd, "RARE", 5)
+    monkeypatch.setattr(nd, "LISTED", 1)
+    rows = [(i, f"common u{i}") for i in range(40)] + [(40, "common")]
+    rng = random.Random(3)
+    rows += [(100 + i, " ".join(rng.sample([f"v{j}" for j in range(9)], rng.randint(1, 6)))) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, content string")
+    for ten in (2, 3, 5, 7):
+        assert {tuple(r) for r in nd.similar_pairs(df, threshold=ten / 10).collect()} == brute_at(rows, ten)
+
+
+def test_listed_tokens_stay_bounded(spark):
+    rows = [(i, f"a b{i % 3} c{i % 7} d{i}") for i in range(60)]
+    _, sets = nd.classes(spark.createDataFrame(rows, "id long, content string"), "id", "content")
+    tok, count, limit = nd.frequencies(sets, listed=2, most=4)
+    assert limit == 16 and len(tok) == 4 and sorted(count.tolist()) == [20, 20, 20, 60] and (tok[1:] > tok[:-1]).all()

@@ -4,22 +4,27 @@ Two records are similar when shared / all distinct tokens >= threshold.  Plan:
 
 1. Records with equal token sets become one class (a group by a 128-bit set hash), so a
    text copied into a third of all rows is one row from here on.
-2. Document frequencies over all classes give one global order, rarest token first.
+2. Frequencies over all classes give one global order, rarest token first.  The tokens of more
+   than a few classes are sent to all tasks; how many classes that is rises until at most
+   ``MOST_LISTED`` tokens are left, and the tokens below it come first, ordered by their hash.
 3. Prefix n-grams.  A pair of size s at the least shares ``ceil(t*s)`` tokens, so the first
    ``s - ceil(t*s) + 2`` tokens of both hold its two first shared tokens.  A first shared
    token of low frequency is a signature by itself; a frequent one is joined with every later
    prefix token to a 2-gram, which keeps buckets small where names and numbers repeat over
    millions of rows.  Both records see the same frequency of the same token, so they choose
-   alike.  Records of more than ``LONG`` tokens use single tokens (prefix one shorter); a
-   record near the limit sends both kinds and the pair's smaller size decides.
+   alike.  Records so small that one shared token is enough send frequent tokens alone, too.
+   Records of more than ``LONG`` tokens use single tokens (prefix one shorter), since the
+   2-grams of a record grow with the square of its size; a record near the limit sends both
+   kinds and the pair's smaller size decides, so no pair is lost.
 4. Rows of one signature are joined under the length filter, the positional filter (what can
-   still be shared after the two positions) and the suffix filter: tokens are counted in
-   eight fixed cells and the sum of differences bounds the number of tokens not shared,
-   which is the divide-and-bound of a suffix filter with its pivots fixed beforehand.
+   still be shared from the signature on, exact for the first shared tokens of a pair) and the
+   suffix filter: tokens are counted in eight fixed cells and the sum of differences bounds the
+   number of tokens not shared, which is the divide-and-bound of a suffix filter with its
+   pivots fixed beforehand.
 5. Surviving pairs are made distinct and verified once, on the token arrays.
 
-Nothing is collected and no bucket is capped.  A bucket that is hot is split by the
-skew-join of adaptive execution.
+Nothing of the records is collected and no bucket is capped.  A bucket that is hot is split by
+the skew-join of adaptive execution.
 
 Defined cases: null, empty or token-less contents are in no pair and form classes of their
 own; repeated ids keep one row; identical token sets have similarity 1; any number of
@@ -28,6 +33,10 @@ extra columns is ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,105 +45,132 @@ from tidemark.session import materialise
 #: Sets of more tokens are signed by single tokens only.
 LONG = 400
 #: A first shared token up to this frequency is a signature by itself.
-RARE = 24
+RARE = 100
+#: Tokens of more classes than this have their frequency sent to the tasks, and the most of them.
+LISTED, MOST_LISTED = 8, 2_000_000
 
-_RUN = r"(?:(?![一-鿿])[\p{L}\p{N}])+|[一-鿿]+"
+_HAN = "[一-鿿]"
 
 
 def tokens(text: Column) -> Column:
-    """Distinct token hashes: runs of letters and digits, bigrams of CJK runs (a run of one
-    stands for itself)."""
-    runs = F.regexp_extract_all(F.lower(text), F.lit(f"({_RUN})"), F.lit(1))
-
-    def split(run: Column) -> Column:
-        n = F.length(run)
-        grams = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.substring(run, i, F.lit(2)))
-        return F.when(run.rlike(r"^[一-鿿]") & (n > 2), grams).otherwise(F.array(run))
-
-    # one-run texts dominate, so hashes are taken before flattening
-    hashed = F.transform(runs, lambda r: F.transform(split(r), lambda g: F.xxhash64(g)))
-    return F.array_distinct(F.flatten(hashed))
+    """Distinct token hashes, sorted: runs of letters and digits, bigrams of CJK runs (a run of
+    one stands for itself)."""
+    low = F.lower(text)
+    plain = F.regexp_extract_all(low, F.lit(r"([\p{L}\p{N}&&[^一-鿿]]+)"), F.lit(1))
+    # a look-ahead takes both characters and moves on by one
+    pairs = F.regexp_extract_all(low, F.lit(f"(?=({_HAN}{{2}}|(?<!{_HAN}){_HAN}(?!{_HAN}))){_HAN}"), F.lit(1))
+    return F.sort_array(F.array_distinct(F.transform(F.concat(plain, pairs), lambda t: F.xxhash64(t))))
 
 
 def classes(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
     """(members, sets): members maps id to class (least id of equal token sets), sets holds
     (cid, toks, n) of every class with tokens."""
-    rows = docs.select(F.col(key).alias("id"), tokens(F.coalesce(F.col(text), F.lit(""))).alias("toks"))
-    rows = rows.filter(F.size("toks") > 0).withColumn("toks", F.array_sort("toks"))
-    rows = rows.withColumns({"h1": F.xxhash64("toks"), "h2": F.hash("toks"), "n": F.size("toks")})
-    rows = materialise(rows, "token-sets")
-    heads = rows.groupBy("h1", "h2", "n").agg(F.min("id").alias("cid"))
-    members = rows.select("id", "h1", "h2", "n").distinct().join(heads, ["h1", "h2", "n"]).select("id", "cid", "n")
-    sets = rows.groupBy("h1", "h2", "n").agg(F.min("id").alias("cid"), F.first("toks").alias("toks"))
-    return materialise(members, "members"), sets.select("cid", "n", "toks")
-
-
-def _up(numerator: Column | int, t: float, of: Column) -> Column:
-    """ceil(t * of) in integers, for a threshold with at most four decimals."""
-    k = round(t * 10_000)
-    return F.floor((of * k + 9_999) / 10_000).cast("int")
-
-
-def ordered(sets: DataFrame) -> DataFrame:
-    """(cid, n, toks, rare): tokens that occur in at least two classes, in global rare-first
-    order with their place in the whole set; tokens of one class only come first and can
-    match nothing, so just their number moves the places."""
-    tok = sets.select("cid", "n", F.explode("toks").alias("tok"))
-    df = tok.groupBy("tok").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    placed = tok.join(df, "tok").groupBy("cid", "n").agg(
-        F.sort_array(F.collect_list(F.struct("df", "tok"))).alias("rare")
-    )
-    return placed
-
-
-def _cells(toks: Column) -> Column:
-    """Number of tokens in eight cells of the token universe, one byte each, saturated."""
-    counts = F.aggregate(
-        toks, F.array(*[F.lit(0)] * 8),
-        lambda acc, t: F.transform(
-            acc, lambda v, i: v + F.when(F.pmod(F.shiftright(t, 7), F.lit(8)) == i, 1).otherwise(0)
-        ),
-    )
-    return F.aggregate(
-        counts, F.lit(0).cast("long"),
-        lambda acc, v: F.shiftleft(acc, 8).bitwiseOR(F.least(v, F.lit(255)).cast("long")),
-    )
-
-
-def signatures(placed: DataFrame, cells: DataFrame, t: float) -> DataFrame:
-    """(sig, cid, n, at, cells): one row per prefix n-gram; ``at`` is the place of its last token."""
-    base = placed.join(cells, "cid").withColumn("lone", F.col("n") - F.size("rare"))
-    n, rare, lone = F.col("n"), F.col("rare"), F.col("lone")
-    # prefix: n - ceil(t n) + 2 places of the whole set, of which the lone tokens fill the first
-    keep = F.least(F.greatest(n - _up(0, t, n) + 2 - lone, F.lit(0)), F.size("rare"))
-    base = base.withColumn("pre", F.slice(rare, 1, keep)).withColumn("k", F.size("pre"))
-    short = n <= F.floor(F.lit(LONG) / t)
-    long_ = n > LONG
-
-    def one(i: Column, kind: int) -> Column:
-        tok = F.get(F.col("pre"), i)["tok"]
-        return F.struct(F.xxhash64(tok, F.lit(kind)).alias("sig"), (lone + i).alias("at"), F.lit(kind).cast("byte").alias("kind"))
-
-    def from_first(i: Column) -> Column:
-        first = F.get(F.col("pre"), i)
-        later = F.transform(
-            F.filter(F.sequence(F.lit(0), F.col("k") - 1), lambda j: j > i),
-            lambda j: F.struct(
-                F.xxhash64(first["tok"], F.get(F.col("pre"), j)["tok"]).alias("sig"), (lone + j).alias("at"),
-                F.lit(0).cast("byte").alias("kind"),
-            ),
-        )
-        return F.when(first["df"] <= RARE, F.array(one(i, 0))).otherwise(later)
-
-    places = F.sequence(F.lit(0), F.col("k") - 1)
-    none = F.array().cast("array<struct<sig:bigint,at:int,kind:tinyint>>")
-    grams = F.when(short & (F.col("k") > 0), F.flatten(F.transform(places, from_first))).otherwise(none)
-    # single tokens: the prefix of one shared token is one place shorter
-    single = F.filter(places, lambda i: lone + i < n - _up(0, t, n) + 1)
-    singles = F.when(long_ & (F.col("k") > 0), F.transform(single, lambda i: one(i, 1))).otherwise(none)
-    return base.select("cid", "n", "cells", F.explode(F.concat(grams, singles)).alias("s")).select(
-        "s.sig", "s.kind", "cid", "n", F.col("s.at").alias("at"), "cells"
+    rows = docs.select(
+        F.col(key).alias("id"), F.monotonically_increasing_id().alias("row"),
+        tokens(F.coalesce(F.col(text), F.lit(""))).alias("toks"),
     )
+    rows = materialise(rows, "token-sets").filter(F.size("toks") > 0)
+    marks = rows.select("id", "row", F.xxhash64("toks").alias("h1"), F.xxhash64(F.lit(1), "toks").alias("h2"), F.size("toks").alias("n"))
+    group = ["h1", "h2", "n"]
+    heads = materialise(marks.groupBy(*group).agg(F.min(F.struct("id", "row")).alias("m")).select(
+        *group, F.col("m.id").alias("cid"), F.col("m.row").alias("row")
+    ), "heads")
+    members = marks.select("id", *group).distinct().join(heads.select(*group, "cid"), group).select("id", "cid", "n")
+    # only the row that stands for its class is read on
+    sets = rows.select("row", "toks").join(heads.select("row", "cid", "n"), "row").select("cid", "n", "toks")
+    return materialise(members, "members"), sets
+
+
+def frequencies(sets: DataFrame, listed: int = LISTED, most: int = MOST_LISTED) -> tuple[np.ndarray, np.ndarray, int]:
+    """(tokens, their numbers of classes, limit): tokens of more than ``limit`` classes, by
+    token; the limit doubles from ``listed`` until at most ``most`` tokens exceed it."""
+    df = sets.select(F.explode("toks").alias("tok")).groupBy("tok").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") > listed)
+    df = materialise(df, "frequencies")
+    limits = [listed << i for i in range(40)]
+    over = df.agg(*[F.count_if(F.col("df") > limit).alias(f"n{i}") for i, limit in enumerate(limits)]).first()
+    limit = next(limit for i, limit in enumerate(limits) if over[i] <= most)
+    table = df.filter(F.col("df") > limit).toArrow()
+    tok, count = table["tok"].to_numpy(), table["df"].to_numpy()
+    order = np.argsort(tok)
+    return tok[order], count[order], limit
+
+
+def _up(t: float, of: np.ndarray) -> np.ndarray:
+    """ceil(t * of) in integers, for a threshold with at most four decimals."""
+    return -((-of * round(t * 10_000)) // 10_000)
+
+
+def _mixed(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """One hash of two, in that order."""
+    z = (x.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (y.view(np.uint64) + np.uint64(0xD1B54A32D192ED03))
+    z = (z ^ (z >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (z ^ (z >> np.uint64(29))).view(np.int64)
+
+
+def _signer(listed: np.ndarray, counts: np.ndarray, rare: int, t: float, long: int):
+    """Arrow function: (cid, toks) -> one row per signature."""
+    schema = pa.schema([("sig", pa.int64()), ("kind", pa.int8()), ("cid", pa.int64()), ("n", pa.int32()), ("room", pa.int32()), ("cells", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            lists = batch["toks"]
+            bounds = lists.offsets.to_numpy()
+            tok = lists.values.to_numpy(zero_copy_only=False)[bounds[0]:bounds[-1]]
+            start = (bounds - bounds[0])[:-1].astype(np.int64)
+            n = np.diff(bounds).astype(np.int64)
+            doc = np.repeat(np.arange(len(n)), n)
+            # cells of the suffix filter: one byte each, saturated
+            cell = np.bincount(doc * 8 + ((tok >> 7) & 7), minlength=8 * len(n)).reshape(-1, 8)
+            cells = (np.minimum(cell, 255).astype(np.uint64) << (8 * np.arange(8, dtype=np.uint64))).sum(axis=1, dtype=np.uint64).view(np.int64)
+            if len(listed):
+                place = np.minimum(np.searchsorted(listed, tok), len(listed) - 1)
+                df = np.where(listed[place] == tok, counts[place], 0)
+            else:
+                df = np.zeros(len(tok), np.int64)
+            order = np.lexsort((tok, df, doc))
+            tok, df = tok[order], df[order]
+            at = np.arange(len(tok)) - np.repeat(start, n)
+            prefix = np.minimum(n - _up(t, n) + 2, n)
+            near, far = (n <= int(long / t))[doc], (n > long)[doc]
+            # the first of one shared token stands one place before the second of two
+            single = at < (n - _up(t, n) + 1)[doc]
+            common = df > rare
+            tiny = (n <= int(1 / t + 1e-9))[doc]
+            out = []
+
+            def emit(which: np.ndarray, sig: np.ndarray, kind: int, last: np.ndarray, many: int) -> None:
+                d = doc[which]
+                out.append((sig, np.full(len(d), kind, np.int8), d, (many + n[d] - last - 1).astype(np.int32)))
+
+            alone = np.nonzero(single & near & (~common | tiny))[0]
+            emit(alone, _mixed(tok[alone], np.zeros(len(alone), np.int64)), 0, at[alone], 1)
+            alone = np.nonzero(single & far)[0]
+            emit(alone, _mixed(tok[alone], np.zeros(len(alone), np.int64)), 1, at[alone], 1)
+            first = np.nonzero(common & near & (at < (prefix - 1)[doc]))[0]
+            many = (prefix - 1)[doc[first]] - at[first]
+            a = np.repeat(first, many)
+            b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(many) - many, many)
+            emit(a, _mixed(tok[a], tok[b]), 0, at[b], 2)
+            ids = batch["cid"].to_numpy(zero_copy_only=False)
+            for sig, kind, d, room in out:
+                for lo in range(0, len(sig), 100_000):
+                    s = slice(lo, lo + 100_000)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(sig[s]), pa.array(kind[s]), pa.array(ids[d[s]]), pa.array(n[d[s]].astype(np.int32)), pa.array(room[s]), pa.array(cells[d[s]])],
+                        schema=schema,
+                    )
+
+    return run, "sig long, kind tinyint, cid long, n int, room int, cells long"
+
+
+def signatures(sets: DataFrame, t: float, rare: int | None = None) -> DataFrame:
+    """(sig, kind, cid, n, room, cells): one row per prefix n-gram; ``room`` is how many tokens
+    can be shared from it on, its own included."""
+    listed, counts, limit = frequencies(sets)
+    run, kind = _signer(listed, counts, max(RARE if rare is None else rare, limit), t, LONG)
+    return sets.select("cid", "toks").mapInArrow(run, kind)
 
 
 def _cell_gap(a: Column, b: Column) -> Column:
@@ -149,10 +185,7 @@ def similar_classes(sets: DataFrame, threshold: float = 0.8) -> DataFrame:
     """(a, b) with a < b: all pairs of different classes with Jaccard >= threshold, once each."""
     t = threshold
     k = round(t * 10_000)
-    sets = materialise(sets, "sets")
-    placed = ordered(sets)
-    sigs = signatures(placed, sets.select("cid", _cells(F.col("toks")).alias("cells")), t)
-    sigs = materialise(sigs, "signatures")
+    sigs = materialise(signatures(sets, t), "signatures")
     x, y = sigs.alias("x"), sigs.alias("y")
     nx, ny = F.col("x.n"), F.col("y.n")
     # least number shared: ceil(t / (1 + t) * (nx + ny))
@@ -163,14 +196,15 @@ def similar_classes(sets: DataFrame, threshold: float = 0.8) -> DataFrame:
         (F.col("x.sig") == F.col("y.sig")) & (F.col("x.kind") == F.col("y.kind")) & (F.col("x.cid") < F.col("y.cid"))
         & (smaller * 10_000 >= F.greatest(nx, ny) * k)
         & ((F.col("x.kind") == 1) == (smaller > LONG))
-        & (2 + F.least(nx - F.col("x.at") - 1, ny - F.col("y.at") - 1) + F.least(F.col("x.at"), F.col("y.at")) >= need)
+        & (F.least("x.room", "y.room") >= need)
         & (_cell_gap(F.col("x.cells"), F.col("y.cells")) <= nx + ny - 2 * need),
     ).select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).distinct()
-    left = sets.select(F.col("cid").alias("a"), F.col("toks").alias("ta"))
-    right = sets.select(F.col("cid").alias("b"), F.col("toks").alias("tb"))
+    candidates = materialise(candidates, "candidates")
+    left = candidates.join(sets.select(F.col("cid").alias("a"), F.col("toks").alias("ta")), "a")
+    right = sets.select(F.col("cid").alias("b"), F.col("toks").alias("tb")).join(candidates.select("b"), "b", "left_semi")
     shared = F.size(F.array_intersect("ta", "tb"))
     union = F.size("ta") + F.size("tb") - shared
-    return candidates.join(left, "a").join(right, "b").filter(shared * 10_000 >= union * k).select("a", "b")
+    return left.join(right, "b").filter(shared * 10_000 >= union * k).select("a", "b")
 
 
 def similar_pairs(docs: DataFrame, key: str = "id", text: str = "content", threshold: float = 0.8) -> DataFrame:
