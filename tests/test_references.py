@@ -1,3 +1,4 @@
+import numpy as np
 from pyspark.sql import functions as F
 
 from tidemark.operators import references
@@ -42,12 +43,21 @@ def test_only_whole_valid_json_arrays_count(spark, at):
 
 
 def test_bits_round_trip(spark):
-    keys = spark.createDataFrame([(x,) for x in (-65, -1, 0, 1, 63, 64, 4_000_000_000)], "k long")
-    words = references.bitmap_words(keys, [], "k")
-    assert {r.back for r in references.decode(words, "bits", "back").collect()} == {-65, -1, 0, 1, 63, 64, 4_000_000_000}
+    codes = spark.createDataFrame([(x,) for x in (0, 1, 63, 64, 32_767, 32_768, 4_000_000_000)], "code long")
+    maps = references.bitmaps(codes, []).collect()
+    back = [c for r in maps for c in references.set_bits(np.frombuffer(r.bits, np.uint8), r["range"] * references.RANGE).tolist()]
+    assert sorted(back) == [0, 1, 63, 64, 32_767, 32_768, 4_000_000_000] and len(maps) == 3
+
+
+def test_ids_of_nineteen_digits(spark, at):
+    used = ['[{"id": 1234567890123456789}, {"id": "-9223372036854775808"}, {"id": 9223372036854775808}]']
+    got = {r[3] for r in run(spark, at, used) if r[0] == "interaction_log"}
+    assert got == {1234567890123456789, -9223372036854775808}
 
 
 def test_dictionary_codes_are_dense(spark):
+    many = references.dictionary_encode(spark.range(50).withColumnRenamed("id", "k"), "k", blocks=7).collect()
+    assert sorted(r.code for r in many) == list(range(50))
     codes = references.dictionary_encode(spark.createDataFrame([("a",), ("b",), ("a",), (None,), ("c",)], "k string"), "k").collect()
     assert sorted(r.code for r in codes) == [0, 1, 2]
 

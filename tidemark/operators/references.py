@@ -1,24 +1,30 @@
 """References to records that do not exist, by bitmap difference.
 
-Keys are integers (``dictionary_encode`` turns other keys into integers).  A bitmap is kept
-as its non-empty 64-bit words, one row per (table, period, key >> 6), which is the
-compressed form: an absent word costs nothing and 64 dense keys cost one row.  References
-AND NOT parents is a join of words, so a key referenced a million times in a month is one
-bit before anything is shuffled.  Bits that survive are decoded and met with the
-references again, salted, since one dangling placeholder may hold a third of all rows.
+All keys that occur are encoded as dense integers by a dictionary (``dictionary_encode``), so
+keys of any kind and any gaps fill the bitmaps densely.  A bitmap covers one range of
+``RANGE`` codes for one table and period and is built by partial aggregation, which makes a key
+referenced a million times in a month one bit before anything is shuffled; only ranges with a
+bit exist, and the shuffle compresses their blocks.  Per range, references AND NOT parents
+leaves the bits of missing and deleted records, and references AND the parents born in or after
+their period those that can be late.  Surviving bits are decoded and met with the references
+again, salted, since one dangling placeholder may hold a third of all rows.
 
 Defined cases: null references are none; equal rows give one result; a reference without a
 time has a null period and can not be late; a memory without ``created_at`` exists and is
 never late; a JSON text counts only if the whole text is valid JSON and an array, and only
-elements that are objects with an integral ``id`` (number or quoted digits); empty tables
-give empty results; extra columns are not read.
+elements that are objects with an integral ``id`` (number or quoted digits) of 64 bits; empty
+tables give empty results; extra columns are not read.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.session import materialise
+
 STRICT_JSON = {
     "mode": "PERMISSIVE", "allowSingleQuotes": "false", "allowNonNumericNumbers": "false",
     "allowUnquotedFieldNames": "false", "allowComments": "false", "allowNumericLeadingZeros": "false",
@@ -26,6 +32,8 @@ STRICT_JSON = {
 }
 #: Copies of every surviving key, against hot keys when meeting the references again.
 SALTS = 16
+#: Codes of one bitmap (a block of 4 kB), and keys of one task of the dictionary.
+RANGE, BLOCK_KEYS = 32_768, 1_000_000
 
 
 def whole_json_array(text: Column) -> Column:
@@ -46,41 +54,71 @@ def used_ids(log: DataFrame, column: str = "knowledge_used") -> DataFrame:
     )
     items = slim.select("id", "created_at", F.explode(whole_json_array(F.col("used"))).alias("item"))
     ident = F.trim(F.get_json_object("item", "$.id"))
-    target = F.when(ident.rlike(r"^-?\d{1,18}$"), ident).cast("long")
+    target = F.when(ident.rlike(r"^-?\d{1,19}$"), ident).try_cast("long")
     return items.select("id", "created_at", target.alias("target_id"))
 
 
-def dictionary_encode(values: DataFrame, column: str) -> DataFrame:
-    """(value, code): dense integer codes for keys that are not integers, without one task
+def dictionary_encode(values: DataFrame, column: str, blocks: int | None = None) -> DataFrame:
+    """(value, code): dense integer codes for the distinct non-null values, without one task
     seeing all of them: codes count up inside hash blocks, offset by the blocks before."""
-    blocks = 1024
     uniq = values.select(F.col(column).alias("value")).filter(F.col("value").isNotNull()).distinct()
+    if blocks is None:
+        uniq = materialise(uniq, "keys")
+        blocks = max(1, -(-uniq.count() // BLOCK_KEYS))
     uniq = uniq.withColumn("block", F.pmod(F.xxhash64("value"), F.lit(blocks)))
     sizes = uniq.groupBy("block").agg(F.count(F.lit(1)).alias("n"))
     ahead = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("block", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("off"))  # at most 1024 rows
+    offsets = sizes.select("block", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("off"))  # one row per block
     rank = F.row_number().over(Window.partitionBy("block").orderBy("value")) - 1
     return uniq.withColumn("r", rank).join(F.broadcast(offsets), "block").select("value", (F.col("off") + F.col("r")).alias("code"))
 
 
-def bitmap_words(keys: DataFrame, group: list[str], key: str) -> DataFrame:
-    """Compressed bitmaps: per ``group`` and word (key >> 6) the OR of the keys' bits."""
-    return keys.groupBy(*group, F.shiftright(F.col(key), 6).alias("word")).agg(
-        F.bit_or(_bit(F.col(key))).alias("bits")
+def bitmaps(codes: DataFrame, group: list[str]) -> DataFrame:
+    """(group, range, bits): one bitmap per group and range of ``RANGE`` values of ``code``."""
+    return codes.groupBy(*group, F.floor(F.col("code") / RANGE).alias("range")).agg(
+        F.bitmap_construct_agg(F.pmod(F.col("code"), F.lit(RANGE))).alias("bits")
     )
 
 
-def decode(words: DataFrame, bits: str, key: str) -> DataFrame:
-    """One row per set bit; ``key`` is the key it stands for."""
-    offsets = F.sequence(F.lit(0), F.lit(63))
-    on = F.filter(offsets, lambda i: F.call_function("shiftright", F.col(bits), i).bitwiseAND(F.lit(1)) == 1)
-    return words.withColumn("_i", F.explode(on)).withColumn(
-        key, F.shiftleft(F.col("word"), 6).bitwiseOR(F.col("_i").cast("long"))
-    ).drop("_i")
-
-
-def _bit(key: Column) -> Column:
-    return F.call_function("shiftleft", F.lit(1).cast("long"), key.bitwiseAND(F.lit(63)).cast("int"))
+def set_bits(bits: np.ndarray, start: int) -> np.ndarray:
+    """The codes a block of bytes stands for, from ``start`` on."""
+    return np.nonzero(np.unpackbits(bits, bitorder="little"))[0].astype(np.int64) + start
+
+
+_STATES = pa.schema([("table_name", pa.string()), ("ref_month", pa.string()), ("code", pa.int64()), ("state", pa.string())])
+
+
+def _differences(key: tuple, table: pa.Table) -> pa.Table:
+    """Of the bitmaps of one range, the codes that are missing, deleted or perhaps late."""
+    start = key[0].as_py() * RANGE
+    none = np.zeros(RANGE // 8, np.uint8)
+    there, gone, births, asked = none, none, {}, []
+    for row in table.to_pylist():
+        bits = np.frombuffer(row["bits"], np.uint8)
+        if row["role"] == "parent":
+            there = there | bits
+            if row["month"] is not None:
+                births[row["month"]] = bits
+        elif row["role"] == "deleted":
+            gone = gone | bits
+        else:
+            asked.append((row["table_name"], row["month"], bits))
+    out = []
+    for name, month, bits in asked:
+        young = none
+        for born, some in births.items():
+            if month is not None and born >= month:
+                young = young | some
+        absent = bits & ~there
+        for state, left in (("missing", absent & ~gone), ("deleted", absent & gone), ("late", bits & young)):
+            codes = set_bits(left, start)
+            if len(codes):
+                n = len(codes)
+                out.append(pa.Table.from_arrays(
+                    [pa.array([name] * n, pa.string()), pa.array([month] * n, pa.string()), pa.array(codes), pa.array([state] * n, pa.string())],
+                    schema=_STATES,
+                ))
+    return pa.concat_tables(out) if out else _STATES.empty_table()
 
 
 def all_references(knowledge: DataFrame, versions: DataFrame, feedback: DataFrame, interactions: DataFrame) -> DataFrame:
@@ -108,45 +146,33 @@ def orphan_references(
 ) -> DataFrame:
     """(table_name, ref_month, row_id, target_id, state), distinct; ``parents`` has (id,
     created_at), ``deleted`` has (knowledge_id).  State is missing, deleted or late."""
-    words = bitmap_words(references, ["table_name", "ref_month"], "target_id")
-    born = bitmap_words(
-        parents.select("id", F.date_format("created_at", "yyyy-MM").alias("born_month")), ["born_month"], "id"
+    used = references.select("table_name", F.col("ref_month").alias("month"), F.col("target_id").alias("key")).distinct()
+    used = materialise(used, "used-keys")
+    known = parents.select(F.col("id").cast("long").alias("key"), F.date_format("created_at", "yyyy-MM").alias("month"))
+    dead = deleted.select(F.col("knowledge_id").cast("long").alias("key"))
+    book = materialise(dictionary_encode(used.select("key").unionByName(known.select("key")).unionByName(dead), "key"), "dictionary")
+    nothing = F.lit(None).cast("string")
+    roles = (
+        used.select(F.lit("reference").alias("role"), "table_name", "month", "key")
+        .unionByName(known.select(F.lit("parent").alias("role"), nothing.alias("table_name"), "month", "key"))
+        .unionByName(dead.select(F.lit("deleted").alias("role"), nothing.alias("table_name"), nothing.alias("month"), "key"))
     )
-    # at most 64 births per word, so the list is bounded
-    there = born.groupBy("word").agg(
-        F.bit_or("bits").alias("there"), F.collect_list(F.struct("born_month", "bits")).alias("births")
+    coded = roles.join(book.withColumnRenamed("value", "key"), "key")
+    left = bitmaps(coded, ["role", "table_name", "month"]).groupBy("range").applyInArrow(
+        _differences, "table_name string, ref_month string, code long, state string"
     )
-    gone = bitmap_words(deleted, [], "knowledge_id").withColumnRenamed("bits", "gone")
-    met = words.join(there, "word", "left").join(gone, "word", "left")
-    exist, dead = F.coalesce("there", F.lit(0)), F.coalesce("gone", F.lit(0))
-    absent = F.col("bits").bitwiseAND(F.bitwise_not(exist))
-    young = F.aggregate(
-        F.filter("births", lambda b: b["born_month"] >= F.col("ref_month")), F.lit(0).cast("long"),
-        lambda acc, b: acc.bitwiseOR(b["bits"]),
-    )
-    kinds = F.array(
-        F.struct(F.lit("missing").alias("state"), absent.bitwiseAND(F.bitwise_not(dead)).alias("left")),
-        F.struct(F.lit("deleted").alias("state"), absent.bitwiseAND(dead).alias("left")),
-        F.struct(F.lit("late").alias("state"), F.coalesce(F.col("bits").bitwiseAND(young), F.lit(0)).alias("left")),
-    )
-    surviving = met.select("table_name", "ref_month", "word", F.explode(kinds).alias("k")).select(
-        "table_name", "ref_month", "word", "k.state", "k.left"
-    ).filter(F.col("left") != 0)
-    keys = decode(surviving, "left", "target_id").drop("word", "left")
-    keys = keys.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    keys = left.join(book, "code").select("table_name", "ref_month", F.col("value").alias("target_id"), "state")
+    # a month that can be late is settled by the exact times
+    births = parents.select(F.col("id").cast("long").alias("target_id"), F.lit("late").alias("state"), F.col("created_at").alias("born"))
+    keys = keys.join(births, ["target_id", "state"], "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     salted = references.withColumn("salt", F.pmod(F.xxhash64("row_id"), F.lit(salts)).cast("int"))
     same = [
         salted["table_name"] == keys["table_name"], salted["ref_month"].eqNullSafe(keys["ref_month"]),
         salted["target_id"] == keys["target_id"], salted["salt"] == keys["salt"],
     ]
-    hit = salted.join(keys, same).select(
-        salted["table_name"], salted["ref_month"], "row_id", salted["target_id"], "ref_time", "state"
-    )
-    # a month that can be late is settled by the exact times, for those references only
-    births = parents.select(F.col("id").alias("target_id"), F.col("created_at").alias("born"))
-    late = hit.filter(F.col("state") == "late").join(births, "target_id").filter(F.col("born") > F.col("ref_time"))
-    columns = ["table_name", "ref_month", "row_id", "target_id", "state"]
-    return hit.filter(F.col("state") != "late").select(columns).unionByName(late.select(columns)).distinct()
+    return salted.join(keys, same).filter((F.col("state") != "late") | (F.col("born") > F.col("ref_time"))).select(
+        salted["table_name"], salted["ref_month"], "row_id", salted["target_id"], "state"
+    ).distinct()
 
 
 def orphan_report(references: DataFrame, orphans: DataFrame) -> DataFrame:

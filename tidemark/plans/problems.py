@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import hot_keys, instants, references
+from tidemark.session import materialise
 from tidemark.sources.tables import load
 
 TIME_FIELDS = ["first_seen", "last_accessed", "event_time"]
@@ -21,9 +22,9 @@ def p2_profiles(spark: SparkSession, d: str) -> DataFrame:
 
 def _references(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     knowledge, versions = load(spark, d, "unified_knowledge"), load(spark, d, "knowledge_versions")
-    refs = references.all_references(
+    refs = materialise(references.all_references(
         knowledge, versions, load(spark, d, "feedback_log"), load(spark, d, "interaction_log")
-    )
+    ), "references")
     return refs, references.orphan_references(refs, knowledge, versions.filter(F.col("status") == "deleted"))
 
 
