@@ -48,6 +48,8 @@ LONG = 400
 RARE = 100
 #: Tokens of more classes than this have their frequency sent to the tasks, and the most of them.
 LISTED, MOST_LISTED = 8, 2_000_000
+#: Copies up to which the rows without them are not written a second time.
+MOST_COPIES = 1_000_000
 
 _HAN = "[一-鿿]"
 
@@ -75,10 +77,13 @@ def classes(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]
     heads = materialise(marks.groupBy(*group).agg(F.min(F.struct("id", "row")).alias("m")).select(
         *group, F.col("m.id").alias("cid"), F.col("m.row").alias("row")
     ), "heads")
-    members = marks.select("id", *group).distinct().join(heads.select(*group, "cid"), group).select("id", "cid", "n")
-    # only the row that stands for its class is read on
-    sets = rows.select("row", "toks").join(heads.select("row", "cid", "n"), "row").select("cid", "n", "toks")
-    return materialise(members, "members"), sets
+    owned = materialise(marks.join(heads.select(*group, "cid", F.col("row").alias("first")), group).select(
+        "id", "cid", "n", "row", (F.col("row") != F.col("first")).alias("copy")
+    ), "members")
+    # rows that only repeat a class are left out; they are few, or the sets are written once
+    copies = materialise(owned.filter("copy").select("row"), "copies")
+    sets = rows.select(F.col("id").alias("cid"), F.size("toks").alias("n"), "toks", "row").join(copies, "row", "left_anti").drop("row")
+    return owned.select("id", "cid", "n").distinct(), materialise(sets, "sets") if copies.count() > MOST_COPIES else sets
 
 
 def frequencies(sets: DataFrame, listed: int = LISTED, most: int = MOST_LISTED) -> tuple[np.ndarray, np.ndarray, int]:
@@ -109,7 +114,7 @@ def _mixed(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 def _signer(listed: np.ndarray, counts: np.ndarray, rare: int, t: float, long: int):
     """Arrow function: (cid, toks) -> one row per signature."""
-    schema = pa.schema([("sig", pa.int64()), ("kind", pa.int8()), ("cid", pa.int64()), ("n", pa.int32()), ("room", pa.int32()), ("cells", pa.int64())])
+    schema = pa.schema([("sig", pa.int64()), ("cid", pa.int64()), ("size", pa.int64()), ("cells", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -142,7 +147,7 @@ def _signer(listed: np.ndarray, counts: np.ndarray, rare: int, t: float, long: i
 
             def emit(which: np.ndarray, sig: np.ndarray, kind: int, last: np.ndarray, many: int) -> None:
                 d = doc[which]
-                out.append((sig, np.full(len(d), kind, np.int8), d, (many + n[d] - last - 1).astype(np.int32)))
+                out.append((sig ^ kind, d, n[d] << 32 | (many + n[d] - last - 1) << 1 | kind))
 
             alone = np.nonzero(single & near & (~common | tiny))[0]
             emit(alone, _mixed(tok[alone], np.zeros(len(alone), np.int64)), 0, at[alone], 1)
@@ -154,20 +159,17 @@ def _signer(listed: np.ndarray, counts: np.ndarray, rare: int, t: float, long: i
             b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(many) - many, many)
             emit(a, _mixed(tok[a], tok[b]), 0, at[b], 2)
             ids = batch["cid"].to_numpy(zero_copy_only=False)
-            for sig, kind, d, room in out:
+            for sig, d, size in out:
                 for lo in range(0, len(sig), 100_000):
                     s = slice(lo, lo + 100_000)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(sig[s]), pa.array(kind[s]), pa.array(ids[d[s]]), pa.array(n[d[s]].astype(np.int32)), pa.array(room[s]), pa.array(cells[d[s]])],
-                        schema=schema,
-                    )
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (sig[s], ids[d[s]], size[s], cells[d[s]])], schema=schema)
 
-    return run, "sig long, kind tinyint, cid long, n int, room int, cells long"
+    return run, "sig long, cid long, size long, cells long"
 
 
 def signatures(sets: DataFrame, t: float, rare: int | None = None) -> DataFrame:
-    """(sig, kind, cid, n, room, cells): one row per prefix n-gram; ``room`` is how many tokens
-    can be shared from it on, its own included."""
+    """(sig, cid, size, cells): one row per prefix n-gram.  ``size`` packs the number of tokens,
+    how many can be shared from the signature on, its own included, and the kind in the last bit."""
     listed, counts, limit = frequencies(sets)
     run, kind = _signer(listed, counts, max(RARE if rare is None else rare, limit), t, LONG)
     return sets.select("cid", "toks").mapInArrow(run, kind)
@@ -187,21 +189,25 @@ def similar_classes(sets: DataFrame, threshold: float = 0.8) -> DataFrame:
     k = round(t * 10_000)
     sigs = materialise(signatures(sets, t), "signatures")
     x, y = sigs.alias("x"), sigs.alias("y")
-    nx, ny = F.col("x.n"), F.col("y.n")
+    nx, ny = F.shiftright("x.size", 32), F.shiftright("y.size", 32)
+    room = lambda c: F.shiftright(F.col(c).bitwiseAND(F.lit(0xFFFFFFFF)), 1)
+    kind = lambda c: F.col(c).bitwiseAND(F.lit(1))
     # least number shared: ceil(t / (1 + t) * (nx + ny))
     need = F.floor(((nx + ny) * k + (10_000 + k - 1)) / (10_000 + k))
     smaller = F.least(nx, ny)
     candidates = x.join(
         y,
-        (F.col("x.sig") == F.col("y.sig")) & (F.col("x.kind") == F.col("y.kind")) & (F.col("x.cid") < F.col("y.cid"))
+        (F.col("x.sig") == F.col("y.sig")) & (F.col("x.cid") < F.col("y.cid"))
         & (smaller * 10_000 >= F.greatest(nx, ny) * k)
-        & ((F.col("x.kind") == 1) == (smaller > LONG))
-        & (F.least("x.room", "y.room") >= need)
+        & (F.least(room("x.size"), room("y.size")) >= need)
+        & (kind("x.size") == kind("y.size")) & ((kind("x.size") == 1) == (smaller > LONG))
         & (_cell_gap(F.col("x.cells"), F.col("y.cells")) <= nx + ny - 2 * need),
     ).select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).distinct()
     candidates = materialise(candidates, "candidates")
-    left = candidates.join(sets.select(F.col("cid").alias("a"), F.col("toks").alias("ta")), "a")
-    right = sets.select(F.col("cid").alias("b"), F.col("toks").alias("tb")).join(candidates.select("b"), "b", "left_semi")
+    needed = materialise(candidates.select(F.explode(F.array("a", "b")).alias("cid")).distinct(), "needed")
+    held = sets.select("cid", "toks").join(needed, "cid", "left_semi")
+    left = candidates.join(held.select(F.col("cid").alias("a"), F.col("toks").alias("ta")), "a")
+    right = held.select(F.col("cid").alias("b"), F.col("toks").alias("tb"))
     shared = F.size(F.array_intersect("ta", "tb"))
     union = F.size("ta") + F.size("tb") - shared
     return left.join(right, "b").filter(shared * 10_000 >= union * k).select("a", "b")
