@@ -5,12 +5,16 @@ put on a grid; the Hilbert index of its cell orders all vectors along one curve.
 curves with other maps and shifts are laid.  On each, rows are range-partitioned by key
 with cuts taken from a bounded sample (``SAMPLE`` rows; it only balances tasks, every row
 is indexed), sorted, and each row meets the ``WINDOW`` rows after it: one small matrix
-product per block of rows.  Candidates of all curves merge and are ranked by exact cosine.
+product per block of rows.  What travels along a curve is a sketch, one byte for each of
+``SKETCH`` axes of a further projection; a pair becomes a candidate if its distance there is below
+``SLACK`` times that of the floor, which one similar pair in about 10,000 exceeds.  Candidates of
+all curves merge, the vectors are joined to the distinct ones, and exact cosines rank them.
+Windows end at the cuts between ranges, which some other curve has elsewhere.
 
 Vectors of one direction are one class beforehand, so copies held by a third of all rows, in
 any length, are one row on the curves; a class keeps its few smallest ids, which are all that
 ties can ask for.  Keys that many different vectors share are spread over several tasks by the
-hash of the id.
+hash of the id.  Vectors are written once and shuffled only to the candidates.
 
 Where vectors lie dense, a window holds only some of the similar ones.  A row is crowded if on
 some curve at least ``CROWD`` of the window before or after it is within twice the angle of the
@@ -37,7 +41,11 @@ from pyspark.sql import functions as F
 
 from tidemark.session import bounded_sample, materialise
 
-CURVES, WINDOW, AXES, BITS, SAMPLE, SEED = 20, 32, 16, 3, 20_000, 17
+CURVES, WINDOW, AXES, BITS, SAMPLE, SEED = 16, 128, 16, 3, 20_000, 17
+#: Axes of a sketch, and squared distance of two over that of the floor up to which a pair is a candidate.
+SKETCH, SLACK, _STEP = 24, 2.0, 1 / 32
+#: Copies up to which the rows without them are not written a second time.
+MOST_COPIES = 1_000_000
 #: Rows of one range of a curve.
 RANGE_ROWS = 25_000
 _BLOCK = 192
@@ -88,6 +96,14 @@ def curve_keys(unit: np.ndarray, curve: int, axes: int = AXES, bits: int = BITS,
     return hilbert_keys(cells, bits)
 
 
+def sketch(unit: np.ndarray) -> np.ndarray:
+    """One byte per axis of a projection of its own; squared differences, times ``_STEP`` squared
+    over the number of axes, estimate the squared distance of unit vectors."""
+    dim = unit.shape[1]
+    basis = np.linalg.qr(np.random.default_rng([SEED, 10_007, dim]).normal(size=(dim, min(SKETCH, dim))))[0]
+    return np.clip(np.rint(unit @ basis * np.sqrt(dim) / _STEP), -127, 127).astype(np.int8)
+
+
 def _unit(raw: np.ndarray) -> np.ndarray:
     wide = raw.astype(np.float64)
     # scaled first, so that squares of very large or very small values stay finite
@@ -123,7 +139,7 @@ def _cuts(sample: list, parts: int) -> dict[tuple[int, int], np.ndarray]:
 def _lay(cuts: dict[tuple[int, int], np.ndarray]):
     """Arrow function: (id, dim, vec) -> one row per curve."""
     schema = pa.schema([("curve", pa.int32()), ("dim", pa.int32()), ("part", pa.int32()), ("key", pa.int64()),
-                        ("id", pa.int64()), ("raw", pa.binary())])
+                        ("id", pa.int64()), ("mini", pa.binary())])
 
     def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -134,8 +150,9 @@ def _lay(cuts: dict[tuple[int, int], np.ndarray]):
                 rows = np.nonzero(dims == dim)[0]
                 raw = np.stack([flat[offsets[r]:offsets[r] + dim] for r in rows]).astype(np.float32)
                 unit, some = _unit(raw), ids[rows]
-                blob = pa.array([r.tobytes() for r in raw], pa.binary())
-                n = len(rows)
+                small = sketch(unit)
+                n, wide = len(rows), small.shape[1]
+                blob = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((np.arange(n + 1) * wide).astype(np.int32)), pa.py_buffer(small.tobytes())])
                 for c in range(CURVES):
                     keys = curve_keys(unit, c)
                     edges = cuts.get((int(dim), c), np.zeros(0, np.int64))
@@ -148,7 +165,7 @@ def _lay(cuts: dict[tuple[int, int], np.ndarray]):
                         schema=schema,
                     )
 
-    return lay, "curve int, dim int, part int, key long, id long, raw binary"
+    return lay, "curve int, dim int, part int, key long, id long, mini binary"
 
 
 def _near(floor: float) -> float:
@@ -157,83 +174,115 @@ def _near(floor: float) -> float:
 
 
 def _windows(window: int, floor: float):
-    """Arrow function over rows sorted by (curve, dim, part, key): pairs within the window, and
-    (id, id, 1) for crowded rows."""
-    near, full = _near(floor), max(1, round(CROWD * window))
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("cosine", pa.float64())])
-
-    def pairs(ids: np.ndarray, raw: np.ndarray, fresh: int, after: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Arrow function over rows sorted by (curve, dim, part, key): candidate pairs within the
+    window, and (id, id) for crowded rows."""
+    full = max(1, round(CROWD * window))
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    # squared distances of unit vectors at the floor and at twice its angle
+    close, near = SLACK * 2 * (1 - floor), 2 * (1 - _near(floor))
+
+    def pairs(ids: np.ndarray, small: np.ndarray, fresh: int, after: np.ndarray) -> Iterator[pa.RecordBatch]:
         """Pairs of a run of rows; the first ``fresh`` rows already met one another.  ``after``
         counts the near rows in the window after each."""
         before = np.zeros(len(ids), np.int64)
-        unit = _unit(raw)
-        quick = unit.astype(np.float32)
+        spread = small.astype(np.float32) * np.float32(_STEP / np.sqrt(small.shape[1]))
+        size = np.einsum("ij,ij->i", spread, spread)
+        low, high = [], []
         for at in range(0, len(ids), _BLOCK):
             end = min(at + _BLOCK, len(ids))
             far = min(end + window, len(ids))
-            product = quick[at:end] @ quick[at:far].T
-            r, c = np.nonzero(product >= min(near, floor - 1e-4))
+            apart = size[at:end, None] + size[None, at:far] - 2 * (spread[at:end] @ spread[at:far].T)
+            r, c = np.nonzero(apart <= max(near, close))
             gap = c - r
             keep = (gap > 0) & (gap <= window) & (c + at >= fresh)
             r, c = r[keep], c[keep]
-            value = product[r, c]
+            value = apart[r, c]
             r, c = r + at, c + at
-            after += np.bincount(r[value >= near], minlength=len(ids))
-            before += np.bincount(c[value >= near], minlength=len(ids))
-            r, c = r[value >= floor - 1e-4], c[value >= floor - 1e-4]
-            if len(r):
-                exact = np.round(np.einsum("ij,ij->i", unit[r], unit[c]), 6)
-                ok = exact >= floor
-                x, y = ids[r[ok]], ids[c[ok]]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(exact[ok])], schema=schema
-                )
-        crowded = pa.array(ids[(after >= full) | (before >= full)])
-        yield pa.RecordBatch.from_arrays([crowded, crowded, pa.array(np.ones(len(crowded)))], schema=schema)
+            after += np.bincount(r[value <= near], minlength=len(ids))
+            before += np.bincount(c[value <= near], minlength=len(ids))
+            low.append(ids[r[value <= close]])
+            high.append(ids[c[value <= close]])
+            if sum(map(len, low)) > 200_000:
+                yield both(low, high)
+                low, high = [], []
+        crowded = ids[(after >= full) | (before >= full)]
+        yield both([*low, crowded], [*high, crowded])
+
+    def both(low: list, high: list) -> pa.RecordBatch:
+        x, y = np.concatenate(low), np.concatenate(high)
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], schema=schema)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: tuple | None = None  # group, ids, raw, near rows after, of the last rows of the open run
+        kept: tuple | None = None  # group, ids, sketches, near rows after, of the last rows of the open run
         for batch in batches:
             if not batch.num_rows:
                 continue
             group = np.stack([batch[c].to_numpy(zero_copy_only=False) for c in ("curve", "dim", "part")], axis=1)
             ids = batch["id"].to_numpy(zero_copy_only=False)
-            blobs = batch["raw"]
+            minis = batch["mini"]
             starts = np.r_[0, np.nonzero((group[1:] != group[:-1]).any(axis=1))[0] + 1, len(ids)]
             for lo, hi in zip(starts[:-1], starts[1:]):
-                tag, dim = tuple(group[lo]), int(group[lo, 1])
-                raw = np.frombuffer(b"".join(blobs.slice(lo, hi - lo).to_pylist()), np.float32).reshape(-1, dim)
+                tag, axes = tuple(group[lo]), min(SKETCH, int(group[lo, 1]))
+                small = np.frombuffer(b"".join(minis.slice(lo, hi - lo).to_pylist()), np.int8).reshape(-1, axes)
                 here, fresh, after = ids[lo:hi], 0, np.zeros(hi - lo, np.int64)
                 if kept is not None and kept[0] == tag:
-                    here, raw, fresh = np.r_[kept[1], here], np.concatenate([kept[2], raw]), len(kept[1])
+                    here, small, fresh = np.r_[kept[1], here], np.concatenate([kept[2], small]), len(kept[1])
                     after = np.r_[kept[3], after]
-                yield from pairs(here, raw, fresh, after)
-                kept = (tag, here[-window:], raw[-window:], after[-window:])
+                yield from pairs(here, small, fresh, after)
+                kept = (tag, here[-window:], small[-window:], after[-window:])
+
+    return walk, "a long, b long"
+
 
-    return walk, "a long, b long, cosine double"
+def _ranked(floor: float):
+    """Arrow function: (a, b, va, vb) -> (a, b, cosine) with cosine >= floor."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("cosine", pa.float64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left, right = batch["va"], batch["vb"]
+            many = left.value_lengths().to_numpy(zero_copy_only=False)
+            x, y = left.flatten().to_numpy(zero_copy_only=False), right.flatten().to_numpy(zero_copy_only=False)
+            start = np.cumsum(many) - many
+            for dim in np.unique(many):
+                rows = np.nonzero(many == dim)[0]
+                cells = start[rows][:, None] + np.arange(dim)
+                cosine = np.round(np.einsum("ij,ij->i", _unit(x[cells]), _unit(y[cells])), 6)
+                ok = cosine >= floor
+                pick = pa.array(rows[ok])
+                yield pa.RecordBatch.from_arrays([batch["a"].take(pick), batch["b"].take(pick), pa.array(cosine[ok])], schema=schema)
+
+    return run, "a long, b long, cosine double"
 
 
 def _meetings(reps: DataFrame, floor: float, window: int, range_rows: int) -> DataFrame:
-    """(a, b, cosine), a <= b, distinct: rows within a window on some curve, cosine >= floor;
+    """(a, b), a <= b, distinct: rows within a window on some curve whose sketches are close;
     a = b marks a crowded row."""
-    reps = materialise(reps, "vectors")
     n = reps.count()
     sample = bounded_sample(reps, "id", SAMPLE, SEED).select("dim", "vec").collect() if n else []
     parts = max(1, -(-n // range_rows))
     lay, laid = _lay(_cuts([(r.dim, r.vec) for r in sample], parts))
-    tasks = max(1, min(parts * CURVES, 4_000))
-    rows = reps.mapInArrow(lay, laid).repartition(tasks, "curve", "dim", "part").sortWithinPartitions(
+    rows = reps.mapInArrow(lay, laid).repartition(parts * CURVES, "curve", "dim", "part").sortWithinPartitions(
         "curve", "dim", "part", "key", "id"
     )
     walk, walked = _windows(window, floor)
-    return rows.mapInArrow(walk, walked).groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
+    return rows.mapInArrow(walk, walked).distinct()
+
+
+def _exact_cosines(reps: DataFrame, pairs: DataFrame, floor: float) -> DataFrame:
+    """(a, b, cosine) of ``pairs`` (a, b) with cosine >= floor."""
+    left = pairs.join(reps.select(F.col("id").alias("a"), F.col("vec").alias("va")), "a")
+    right = reps.select(F.col("id").alias("b"), F.col("vec").alias("vb")).join(pairs.select("b"), "b", "left_semi")
+    run, kind = _ranked(floor)
+    return left.join(right, "b").select("a", "b", "va", "vb").mapInArrow(run, kind)
 
 
 def candidate_pairs(
     reps: DataFrame, floor: float, window: int = WINDOW, range_rows: int = RANGE_ROWS
 ) -> DataFrame:
     """(a, b, cosine), a < b, distinct: rows within a window on some curve, cosine >= floor."""
-    return _meetings(reps, floor, window, range_rows).filter(F.col("a") < F.col("b"))
+    met = materialise(_meetings(reps, floor, window, range_rows), "candidates")
+    return _exact_cosines(reps, met.filter(F.col("a") < F.col("b")), floor)
 
 
 def _leaders(sample: list, near: float) -> dict[int, np.ndarray]:
@@ -410,7 +459,7 @@ def crowded_pairs(reps: DataFrame, crowded: DataFrame, k: int, floor: float, hom
         at_home = housed.join(many, ["dim", "leader"]).select(
             "dim", "leader", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), "id", "vec"
         ).mapInArrow(raw, kind)
-        tasks = max(1, min(sum(int(b.sum()) for b in blocks.values()), 4_000))
+        tasks = max(1, sum(int(b.sum()) for b in blocks.values()))
         rows = at_home.unionByName(guests).repartition(tasks, "dim", "leader", "block").sortWithinPartitions(
             "dim", "leader", "block", "guest", "id"
         )
@@ -444,26 +493,31 @@ def nearest(vectors: DataFrame, k: int = 5, floor: float = 0.9, window: int = WI
     top = F.array(F.array_max(F.transform("vec", lambda x: F.abs(x.cast("double")))))
     way = F.transform(top, lambda t: F.transform("vec", lambda x: x.cast("double") / t + 0.0))
     hashes = F.transform(way, lambda w: F.struct(F.xxhash64(w).alias("h1"), F.hash(w).alias("h2")))
-    rows = vectors.withColumn("h", F.explode(hashes)).select(*vectors.columns, "h.h1", "h.h2")
-    rows = materialise(rows.dropDuplicates(["id"]), "usable")
+    rows = vectors.withColumn("h", F.explode(hashes)).select("id", F.monotonically_increasing_id().alias("row"), "dim", "vec", "h.h1", "h.h2")
+    rows = materialise(rows, "usable")
     group = ["dim", "h1", "h2"]
-    heads = rows.groupBy(*group).agg(F.min("id").alias("cid"), F.min_by("vec", "id").alias("vec"))
-    heads = materialise(heads, "heads")
-    reps = heads.select(F.col("cid").alias("id"), "dim", "vec")
-    met = materialise(_meetings(reps, floor, window, RANGE_ROWS), "pairs")
-    links = met.filter(F.col("a") < F.col("b"))
+    once = rows.groupBy("id").agg(F.min(F.struct("row", *group)).alias("m")).select("id", "m.*")
+    heads = once.groupBy(*group).agg(F.min(F.struct("id", "row")).alias("m"))
+    owned = materialise(once.join(heads, group).select("id", F.col("m.id").alias("cid"), "row", F.col("m.row").alias("first")), "members")
+    # rows that only repeat an id or a class are left out; they are few, or the others are written once
+    copies = rows.select("row").join(owned.filter(F.col("row") == F.col("first")).select("row"), "row", "left_anti")
+    copies = materialise(copies, "copies")
+    reps = rows.join(copies, "row", "left_anti").select("id", "dim", "vec")
+    if copies.count() > MOST_COPIES:
+        reps = materialise(reps, "vectors")
+    met = materialise(_meetings(reps, floor, window, RANGE_ROWS), "candidates")
+    links = materialise(_exact_cosines(reps, met.filter(F.col("a") < F.col("b")), floor), "pairs")
     exact = crowded_pairs(reps, met.filter(F.col("a") == F.col("b")).select(F.col("a").alias("id")), k + 1, floor)
     if exact is not None:
         links = materialise(links.unionByName(exact).groupBy("a", "b").agg(F.max("cosine").alias("cosine")), "links")
-    members = rows.select("id", *group).join(heads.select("cid", *group), group).select("id", "cid")
-    members = materialise(members, "members")
+    members = owned.select("id", "cid")
     # the k + 1 smallest ids of a class are all that can be chosen of it
     first = Window.partitionBy("cid").orderBy("id")
     few = members.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= k + 1).select("cid", F.col("id").alias("other"))
     both = links.select(F.col("a").alias("x"), F.col("b").alias("y"), "cosine").unionByName(
         links.select(F.col("b").alias("x"), F.col("a").alias("y"), "cosine")
     )
-    own = heads.select(F.col("cid").alias("x"), F.col("cid").alias("y"), F.lit(1.0).alias("cosine"))
+    own = members.filter(F.col("id") == F.col("cid")).select(F.col("cid").alias("x"), F.col("cid").alias("y"), F.lit(1.0).alias("cosine"))
     best = Window.partitionBy("x").orderBy(F.col("cosine").desc(), "other")
     ranked = both.unionByName(own).join(few.withColumnRenamed("cid", "y"), "y").select("x", "other", "cosine")
     ranked = ranked.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k + 1).drop("r")
