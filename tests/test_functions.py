@@ -10,8 +10,10 @@ def one(spark, column, **values):
 
 def test_index_terms_of_mixed_script(spark):
     terms = one(spark, text.index_terms(F.col("t")), t="压缩索引 été foo_bar-7")
-    assert terms == ["压", "缩", "索", "引", "压缩", "缩索", "索引", "t", "foo", "bar", "7"]
-    assert text.query_terms("索引") == ["索引"] and text.query_terms("压") == ["压"]
+    # a run of several parts is a term as a whole, too
+    assert terms == ["压", "缩", "索", "引", "压缩", "缩索", "索引", "t", "foo", "bar", "7", "foo_bar-7"]
+    assert one(spark, text.asked_terms(F.col("t")), t="索引 Foo.bar x") == ["foo.bar", "索引"] and one(spark, text.asked_terms(F.col("t")), t="压") == ["压"]
+    assert one(spark, text.segments(F.col("t")), t="压缩 été Foo.bar-7") == ["压", "缩", "压缩", "t", "Foo.bar-7"]
 
 
 def test_tokens_and_overlap(spark):
@@ -72,3 +74,26 @@ def test_normal_forms_cover_every_language(spark, tmp_path):
         normal = None if t is None else re.sub(r"\s+", " ", re.sub(r"<[^>]+>", "", t)).strip().lower()
         want[i] = (normal, None if t is None else hashlib.sha256(normal.encode()).hexdigest()[:16])
     assert {r.doc_id: (r.normal, r.hash) for r in language.normal_forms(spark, str(tmp_path)).collect()} == want
+
+
+def test_entities_equal_a_plain_reading(spark):
+    import re
+
+    forms = ['"([^"]{2,60})"', "([A-Za-z0-9_/-]{2,}[一-鿿]{2,}|[一-鿿]{2,}[A-Za-z0-9_/-]{2,})", r"\\b([A-Z][A-Za-z0-9_/-]{2,40})\\b", r"\\b(\\d{5,6})\\b", "([一-鿿\u3400-\u4dbf]{4,12})"]
+    forms = [f.replace("\\\\", "\\") for f in forms]
+    texts = ['Según "open door" the Quillbase 数据Server met 123456 and 记忆引擎模块 使用Quillbase', "Été Vekelji, vekelji; (Lumifold) This", None, ""]
+    for t in texts:
+        want, seen = [], set()
+        for form in forms:
+            for e in re.findall(form, t or ""):
+                e = re.sub(r"^[\\s.,;:!?()\\[\\]{}\"']+|[\\s.,;:!?()\\[\\]{}\"']+$".replace("\\\\", "\\"), "", e)
+                if 2 <= len(e) <= 60 and not e.isdigit() and e.lower() not in patterns.NO_ENTITIES and e.lower() not in seen:
+                    seen.add(e.lower())
+                    want.append(e)
+        got = one(spark, patterns.entities(F.col("t")), t=t)
+        assert (got or []) == want, t
+
+
+def test_conditions(spark):
+    can = lambda a, b: one(spark, patterns.conditions_overlap(F.col("a"), F.col("b")), a=a, b=b)
+    assert can("", "x") and can("rain", "heavy rain") and can("markets up", "markets down") and not can("rain", "sun")

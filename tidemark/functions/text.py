@@ -31,36 +31,54 @@ def content_hash(text: Column) -> Column:
     return F.substring(F.sha2(normal_form(text), 256), 1, 16)
 
 
+def plain_hash(text: Column) -> Column:
+    """``content_hash`` of a text whose markup counts."""
+    return F.substring(F.sha2(F.lower(F.regexp_replace(F.trim(text), r"\s+", " ")), 256), 1, 16)
+
+
 def _grams(run: Column, n: int) -> Column:
     last = F.length(run) - (n - 1)
     every = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substring(run, i, F.lit(n)))
     return F.when(last >= 1, every).otherwise(F.array().cast("array<string>"))
 
 
-def index_terms(text: Column) -> Column:
-    """Terms of the full-text index, repeats kept: single and paired characters of Han runs;
-    Latin runs lower-cased and split at dots, dashes and underscores."""
-    runs = F.regexp_extract_all(text, F.lit(rf"({_HAN}+|[A-Za-z0-9._-]+)"), F.lit(1))
+def _pairs(text: Column) -> Column:
+    """Every two neighbours of a run of Han characters: a look-ahead takes both and moves on by one."""
+    return F.regexp_extract_all(text, F.lit(rf"(?=({_HAN}{{2}})){_HAN}"), F.lit(1))
 
-    def terms(run: Column) -> Column:
-        parts = F.filter(F.split(F.lower(run), r"[._-]+"), lambda p: p != "")
-        return F.when(run.rlike(f"^{_HAN}"), F.concat(_grams(run, 1), _grams(run, 2))).otherwise(parts)
 
-    return F.flatten(F.transform(runs, terms))
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def query_terms(query: str) -> list[str]:
-    """Distinct terms of a query; single Han characters only count if nothing longer is there."""
-    import re
+def segments(text: Column) -> Column:
+    """Segments of a text for an index: a run of Han characters gives its single characters, then
+    its pairs; a run of ASCII letters, digits, dots, dashes and underscores stays as it is."""
+    runs = F.regexp_extract_all(text, F.lit(rf"({_HAN}+|[A-Za-z0-9._-]+)"), F.lit(1))
+    return F.flatten(F.transform(runs, lambda r: F.when(r.rlike(f"^{_HAN}"), F.concat(_grams(r, 1), _grams(r, 2))).otherwise(F.array(r))))
 
-    out: list[str] = []
-    for run in re.findall(r"[一-鿿]+|[A-Za-z0-9._-]+", query):
-        if "一" <= run[0] <= "鿿":
-            out += list(run) + [run[i:i + 2] for i in range(len(run) - 1)]
-        else:
-            out += [p for p in re.split(r"[._-]+", run.lower()) if p]
-    long = [t for t in out if len(t) > 1]
-    return list(dict.fromkeys(long or out))
+
+def index_terms(text: Column) -> Column:
+    """Terms of the full-text index, repeats kept: single Han characters, pairs of them, the
+    letter and digit parts of ASCII runs, and runs of several parts as a whole, which is what a
+    query for one asks for; ASCII letters are lower-cased."""
+    low = F.translate(text, _UPPER, _LOWER)
+    return F.concat(
+        F.regexp_extract_all(low, F.lit(f"({_HAN})"), F.lit(1)), _pairs(low),
+        F.regexp_extract_all(low, F.lit("([a-z0-9]+)"), F.lit(1)),
+        F.regexp_extract_all(low, F.lit("([a-z0-9]+(?:[._-]+[a-z0-9]+)+)"), F.lit(1)),
+    )
+
+
+def asked_terms(text: Column) -> Column:
+    """Distinct terms of a query: a run of several parts only as a whole; single Han characters
+    only if nothing longer is there."""
+    low = F.translate(text, _UPPER, _LOWER)
+    every = F.array_distinct(F.concat(
+        F.regexp_extract_all(low, F.lit("([a-z0-9]+(?:[._-]+[a-z0-9]+)*)"), F.lit(1)), _pairs(low),
+        F.regexp_extract_all(low, F.lit(f"({_HAN})"), F.lit(1)),
+    ))
+    longer = F.filter(every, lambda t: F.length(t) > 1)
+    return F.when(F.size(longer) > 0, longer).otherwise(every)
 
 
 def like_fragments(query: str) -> list[str]:

@@ -58,6 +58,11 @@ def traverse(edges: DataFrame, start: DataFrame, depth: int = 2, least: float =
     )
 
 
+def nearest_nodes(reached: DataFrame, most: int = 50) -> DataFrame:
+    """The first ``most`` rows of a traversal, near and heavy ones first."""
+    return reached.orderBy("depth", F.col("weight").desc(), "node", "relation_type").limit(most)
+
+
 def _scan(terms: list[tuple[str, str]]):
     """Arrow function: (id, body) -> (term, id) of every (term, lower-cased term) that is a substring of the body.
     A table from the first ``PREFIX`` characters (all of a shorter term) to the terms by length

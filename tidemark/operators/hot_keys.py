@@ -60,9 +60,8 @@ def heavy_keys(edges: DataFrame, share: float = 0.01) -> DataFrame:
     )
 
 
-def weighted_percentile(values: DataFrame, keys: list[str], value: str, count: str, q: float, name: str) -> DataFrame:
-    """Exact lower percentile per key of weighted values: the first value whose cumulated
-    count reaches ``q`` of the key's count.
+def ranked_values(values: DataFrame, keys: list[str], value: str, count: str) -> DataFrame:
+    """(keys, v, c, upto, all_c): values per key with their cumulated count, and the key's count.
 
     The values are range-partitioned by (key, value) and written with their partition
     number.  Only (key, partition) sums cross a window per key, at most one row per
@@ -76,10 +75,18 @@ def weighted_percentile(values: DataFrame, keys: list[str], value: str, count: s
     by_key = Window.partitionBy(*keys)
     before = by_key.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_block.select(
-        *keys, "block", F.coalesce(F.sum("bc").over(before), F.lit(0)).alias("ahead"), F.sum("bc").over(by_key).alias("all_c")
+        *[F.col(k).alias(f"_{k}") for k in keys], F.col("block").alias("_block"), F.coalesce(F.sum("bc").over(before), F.lit(0)).alias("ahead"),
+        F.sum("bc").over(by_key).alias("all_c"),
     )
     within = Window.partitionBy(*keys, "block").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    running = ranged.join(offsets, [*keys, "block"]).withColumn("upto", F.col("ahead") + F.sum("c").over(within))
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys] + [F.col("block") == F.col("_block")]
+    return ranged.join(offsets, same).withColumn("upto", F.col("ahead") + F.sum("c").over(within)).select(*keys, "v", "c", "upto", "all_c")
+
+
+def weighted_percentile(values: DataFrame, keys: list[str], value: str, count: str, q: float, name: str) -> DataFrame:
+    """Exact lower percentile per key of weighted values: the first value whose cumulated
+    count reaches ``q`` of the key's count."""
+    running = ranked_values(values, keys, value, count)
     return running.filter(F.col("upto") >= F.col("all_c") * q).groupBy(*keys).agg(F.min("v").alias(name))
 
 

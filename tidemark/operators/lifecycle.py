@@ -91,22 +91,30 @@ def confidence(events: DataFrame, key: str, kind: str, order: list[str], blocks:
     )
 
 
-def chain_roots(rows: DataFrame, key: str, parent: str, rounds: int = 20) -> DataFrame:
+def chain_roots(rows: DataFrame, key: str, parent: str, rounds: int = 64) -> DataFrame:
     """(key, root, depth) by pointer jumping: every round doubles how far a row looks, so a
-    chain of n takes log2(n) joins.  A parent that does not exist ends the chain before it."""
+    chain of n takes log2(n) joins.  A parent that does not exist ends the chain before it.  Rows
+    on a cycle, or on a chain that runs into one, have a null root and depth; a chain that does
+    not end after ``rounds`` rounds raises."""
     known = rows.select(F.col(key).alias("k")).distinct()
     links = rows.select(F.col(key).alias("k"), F.col(parent).alias("p")).filter(F.col("p").isNotNull() & (F.col("p") != F.col("k")))
     links = links.groupBy("k").agg(F.min("p").alias("p")).join(known.withColumnRenamed("k", "p"), "p", "left_semi")
-    state = materialise(known.join(links, "k", "left").select("k", F.coalesce("p", "k").alias("root"), F.col("p").isNotNull().cast("int").alias("depth")), "chain")
+    state = materialise(known.join(links, "k", "left").select("k", F.coalesce("p", "k").alias("root"), F.col("p").isNotNull().cast("long").alias("depth")), "chain")
+    n = known.count()
     for _ in range(rounds):
         up = state.select(F.col("k").alias("root"), F.col("root").alias("next"), F.col("depth").alias("more"))
-        state = materialise(state.join(up, "root", "left").select(
-            "k", F.coalesce("next", "root").alias("root"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")
-        ), "chain")
-        moving = state.alias("a").join(state.alias("b"), F.col("a.root") == F.col("b.k")).filter(F.col("b.root") != F.col("b.k"))
+        state = materialise(state.join(up, "root").select("k", F.col("next").alias("root"), (F.col("depth") + F.col("more")).alias("depth")), "chain")
+        # a chain has fewer steps than there are rows; what has gone further walks in a circle
+        ends = state.filter((F.col("k") == F.col("root")) & (F.col("depth") == 0)).select(F.col("k").alias("root"))
+        moving = state.filter(F.col("depth") <= n).join(ends, "root", "left_anti")
         if moving.limit(1).count() == 0:
             break
-    return state.select(F.col("k").alias(key), "root", "depth")
+    else:
+        raise RuntimeError("chains did not end; raise rounds")
+    circling = F.col("depth") > n
+    return state.select(
+        F.col("k").alias(key), F.when(~circling, F.col("root")).alias("root"), F.when(~circling, F.col("depth").cast("int")).alias("depth")
+    )
 
 
 def redact(rows: DataFrame, user: str, columns: list[str], mark: str = "[REDACTED]") -> DataFrame:
@@ -116,6 +124,23 @@ def redact(rows: DataFrame, user: str, columns: list[str], mark: str = "[REDACTE
     return out.withColumn("user_id", F.when(mine, F.lit(f"forgotten_{user}")).otherwise(F.col("user_id")))
 
 
+def forgotten(
+    user: str, knowledge: DataFrame, log: DataFrame, fingerprints: DataFrame | None = None, beliefs: DataFrame | None = None
+) -> dict[str, DataFrame]:
+    """All tables after a user is forgotten: texts replaced and the user renamed in the store and
+    the log, fingerprints of the user and beliefs of the user's memories deleted."""
+    out = {
+        "unified_knowledge": redact(knowledge, user, [c for c in ("content", "active_summary", "source_snippet") if c in knowledge.columns]),
+        "interaction_log": redact(log, user, [c for c in ("user_query", "model_response", "knowledge_used") if c in log.columns]),
+    }
+    if fingerprints is not None:
+        out["user_fingerprints"] = fingerprints.filter(F.coalesce(F.col("user_id") != user, F.lit(True)))
+    if beliefs is not None:
+        own = knowledge.filter(F.col("user_id") == user).select(F.col("id").alias("knowledge_id"))
+        out["knowledge_beliefs"] = beliefs.join(own, "knowledge_id", "left_anti")
+    return out
+
+
 def numbered_history(versions: DataFrame) -> DataFrame:
     """Distinct history rows with their place, newest first, and the number of versions."""
     per = Window.partitionBy("knowledge_id")
@@ -123,3 +148,26 @@ def numbered_history(versions: DataFrame) -> DataFrame:
     return rows.withColumns({
         "place": F.row_number().over(per.orderBy(F.col("created_at").desc(), F.col("id").desc())), "n_versions": F.count(F.lit(1)).over(per),
     })
+
+
+def as_of(rows: DataFrame, known: DataFrame, group: str, time: str, key: str, span: str = "month") -> DataFrame:
+    """``rows`` with ``as_of_<key>``: the newest row of ``known`` of the same group at or before its
+    time, the greatest key on equal times.
+
+    Both sides are cut into spans of time; inside a span a window looks back over the rows of
+    both, and where it finds nothing the newest known row of the spans before it counts, one row
+    per group and span.  A group with a third of all rows is spread over its spans."""
+    cell = F.date_trunc(span, F.col(time).cast("timestamp")).alias("_span")
+    item = F.struct(F.col(time).alias("t"), F.col(key).alias("k"))
+    left = rows.withColumn("_span", cell)
+    right = known.select(group, time, F.col(key).alias("_k"), cell)
+    both = left.withColumns({"_k": F.lit(None).cast(known.schema[key].dataType), "_side": F.lit(1)}).unionByName(
+        right.withColumn("_side", F.lit(0)), allowMissingColumns=True
+    )
+    inside = Window.partitionBy(group, "_span").orderBy(time, "_side", "_k").rowsBetween(Window.unboundedPreceding, 0)
+    seen = both.withColumn("_in", F.last("_k", ignorenulls=True).over(inside)).filter(F.col("_side") == 1)
+    last = known.select(group, cell, item.alias("i")).groupBy(group, "_span").agg(F.max("i").alias("i"))
+    ends = left.select(group, "_span").distinct().withColumn("i", F.lit(None).cast(last.schema["i"].dataType)).unionByName(last).groupBy(group, "_span").agg(F.max("i").alias("i"))
+    earlier = Window.partitionBy(group).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)  # one row per span
+    before = ends.select(group, "_span", F.max("i").over(earlier)["k"].alias("_before"))
+    return seen.join(before, [group, "_span"], "left").withColumn(f"as_of_{key}", F.coalesce("_in", "_before")).drop("_in", "_before", "_k", "_side", "_span")

@@ -46,16 +46,17 @@ def whole_json_array(text: Column) -> Column:
     return F.when((F.size(in_array) == 1) & F.col("text_kind").eqNullSafe("["), in_object["v"])
 
 
-def used_ids(log: DataFrame, column: str = "knowledge_used") -> DataFrame:
-    """(id, created_at, target_id) of every element of the JSON array ``column``."""
+def used_ids(log: DataFrame, column: str = "knowledge_used", keep: list[str] | None = None) -> DataFrame:
+    """(id, created_at, keep, target_id) of every element of the JSON array ``column``."""
+    keep = keep or []
     text = F.col(column)
-    slim = log.select("id", "created_at", text.alias("used")).withColumn(
+    slim = log.select("id", "created_at", *keep, text.alias("used")).withColumn(
         "text_kind", F.substring(F.regexp_replace("used", r"^\s+", ""), 1, 1)
     )
-    items = slim.select("id", "created_at", F.explode(whole_json_array(F.col("used"))).alias("item"))
+    items = slim.select("id", "created_at", *keep, F.explode(whole_json_array(F.col("used"))).alias("item"))
     ident = F.trim(F.get_json_object("item", "$.id"))
     target = F.when(ident.rlike(r"^-?\d{1,19}$"), ident).try_cast("long")
-    return items.select("id", "created_at", target.alias("target_id"))
+    return items.select("id", "created_at", *keep, target.alias("target_id"))
 
 
 def dictionary_encode(values: DataFrame, column: str, blocks: int | None = None) -> DataFrame:

@@ -9,7 +9,7 @@ from tidemark.functions import scores, text
 from tidemark.operators import composite, graph, lifecycle, mining, retrieval
 from tidemark.plans.registry import Registry
 from tidemark.sources.snapshots import json_lines
-from tidemark.sources.tables import load
+from tidemark.sources.tables import SCHEMAS, load
 
 R = Registry()
 query = R.query
@@ -96,9 +96,13 @@ def page_of_rows(spark, d):
     return load(spark, d, "unified_knowledge").orderBy(F.col("created_at").desc(), "id").offset(100).limit(50).select("id", "created_at")
 
 
-@query("""SELECT id, to_json({'id': id, 'layer': layer, 'status': status, 'replaced_by': replaced_by}) AS json FROM unified_knowledge""")
+_COLUMNS = [f.name for f in SCHEMAS["unified_knowledge"].fields]
+
+
+@query("SELECT id, to_json({" + ", ".join(f"'{c}': CAST({c} AS VARCHAR)" for c in _COLUMNS) + "}) AS json FROM unified_knowledge")
 def export_lines(spark, d):
-    return json_lines(load(spark, d, "unified_knowledge").select("id", "layer", "status", "replaced_by"), ["id"])
+    rows = load(spark, d, "unified_knowledge")
+    return json_lines(rows.select(*[F.col(c).cast("string").alias(c) for c in _COLUMNS]), ["id"]).withColumn("id", F.col("id").cast("long"))
 
 
 # ---- joins ----
@@ -133,8 +137,7 @@ def corrected_memories(spark, d):
 
 
 @query("""WITH t(term) AS (VALUES ('Brontell'), ('Quillbase'), ('journal'), ('工作流'), ('migration')),
-hits AS (SELECT t.term, k.id, k.positive_feedback, row_number() OVER (PARTITION BY t.term ORDER BY k.positive_feedback DESC, k.id) AS place FROM t JOIN unified_knowledge k ON contains(lower(k.content), lower(t.term))
-  AND list_contains(regexp_extract_all(lower(k.content), '([\\p{L}\\p{N}_-]+)'), lower(t.term)))
+hits AS (SELECT t.term, k.id, k.positive_feedback, row_number() OVER (PARTITION BY t.term ORDER BY k.positive_feedback DESC, k.id) AS place FROM t JOIN unified_knowledge k ON contains(lower(k.content), lower(t.term)))
 SELECT term, id, place FROM hits WHERE place <= 3""")
 def best_mentions(spark, d):
     terms = spark.createDataFrame([(t,) for t in ("Brontell", "Quillbase", "journal", "工作流", "migration")], "term string")
@@ -166,22 +169,14 @@ def accumulated_edges(spark, d):
 
 
 @query("""WITH g AS (SELECT lower(regexp_replace(entity_a, '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g')) AS a, lower(regexp_replace(entity_b, '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g')) AS b, relation_type FROM entity_relations),
-e AS (SELECT a, b, relation_type, least(5.0, 1 + 0.5 * (count(*) - 1)) AS weight FROM g WHERE a <> '' AND b <> '' GROUP BY 1, 2, 3 HAVING count(*) > 1),
+e AS (SELECT a, b, relation_type, least(5.0, 1 + 0.5 * (count(*) - 1)) AS weight FROM g WHERE a <> '' AND b <> '' GROUP BY 1, 2, 3),
 m AS (SELECT a AS node, b AS nxt, relation_type, weight FROM e UNION ALL SELECT b, a, relation_type, weight FROM e),
 h1 AS (SELECT nxt AS node, relation_type, max(weight) AS weight, 1 AS depth FROM m WHERE node = '调度中心' GROUP BY 1, 2),
 h2 AS (SELECT m.nxt AS node, m.relation_type, max(m.weight) AS weight, 2 AS depth FROM m WHERE m.node IN (SELECT node FROM h1) GROUP BY 1, 2)
 SELECT node, relation_type, CAST(min(depth) AS INTEGER) AS depth, max(weight)::DOUBLE AS weight FROM (SELECT * FROM h1 UNION ALL SELECT * FROM h2) WHERE node <> '调度中心' GROUP BY 1, 2""")
 def graph_neighbourhood(spark, d):
     edges = graph.accumulate(load(spark, d, "entity_relations"))
-    return graph.traverse(edges, spark.createDataFrame([("调度中心",)], "node string"), 2, 1.5)
-
-
-@query("""WITH old AS (SELECT event_type, avg(value) AS v FROM events WHERE ts < TIMESTAMP '2024-01-16' GROUP BY 1), new AS (SELECT event_type, avg(value) AS v FROM events WHERE ts >= TIMESTAMP '2024-01-16' AND event_type <> 'click' GROUP BY 1)
-SELECT coalesce(old.event_type, new.event_type) AS event_type, coalesce(old.v, 0) AS before, coalesce(new.v, 0) AS after, round(abs(coalesce(new.v, 0) - coalesce(old.v, 0)), 6) AS change, abs(coalesce(new.v, 0) - coalesce(old.v, 0)) > 0.1 AS drifted FROM old FULL JOIN new ON old.event_type = new.event_type""")
-def drift_by_type(spark, d):
-    e, cut = load(spark, d, "events"), F.to_timestamp(F.lit("2024-01-16"))
-    mean = lambda rows: rows.groupBy("event_type").agg(F.avg("value").alias("v"))
-    return mining.drift(mean(e.filter(F.col("ts") < cut)), mean(e.filter((F.col("ts") >= cut) & (F.col("event_type") != "click"))), ["event_type"], "v")
+    return graph.traverse(edges, spark.createDataFrame([("调度中心",)], "node string"), 2, 0.5)
 
 
 @query("""SELECT split_part(session_id, '-', 1) AS client, arg_max(user_id, (n, user_id)) AS top_user, CAST(max(n) AS BIGINT) AS n FROM (SELECT session_id, user_id, count(*) OVER (PARTITION BY split_part(session_id, '-', 1), user_id) AS n FROM (SELECT DISTINCT id, session_id, user_id FROM interaction_log WHERE session_id IS NOT NULL AND user_id IS NOT NULL)) GROUP BY 1""")
@@ -197,15 +192,6 @@ def validity_intervals(spark, d):
     return load(spark, d, "orders").select("o_custkey", "o_orderkey", F.col("o_orderdate").alias("valid_from"), F.lead("o_orderdate").over(order).alias("valid_to"))
 
 
-@query("""SELECT l_partkey AS entity, l_returnflag AS condition, count(*) AS n, max(l_discount) - min(l_discount) >= 0.01 AS conflict FROM lineitem GROUP BY 1, 2""")
-def metric_conflicts(spark, d):
-    """Values of one metric that disagree per entity and condition: two values differ by the
-    tolerance exactly if the extremes do, so no pairs are formed."""
-    return load(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("entity"), F.col("l_returnflag").alias("condition")).agg(
-        F.count(F.lit(1)).alias("n"), (F.max("l_discount") - F.min("l_discount") >= 0.01).alias("conflict")
-    )
-
-
 @query("""SELECT c.c_custkey, n.n_name, r.r_name, count(o.o_orderkey) AS n_orders, round(coalesce(sum(o.o_totalprice), 0), 2) AS total FROM customer c JOIN nation n ON n.n_nationkey = c.c_nationkey JOIN region r ON r.r_regionkey = n.n_regionkey
 LEFT JOIN orders o ON o.o_custkey = c.c_custkey GROUP BY 1, 2, 3""")
 def customer_totals(spark, d):
@@ -288,12 +274,13 @@ def quality_scores(spark, d):
 
 
 @query(f"""WITH {_USED}, w AS (SELECT DISTINCT id, unnest(regexp_extract_all(lower(user_query), '([\\x{{4E00}}-\\x{{9FFF}}]{{2,}}|[a-z0-9_]{{2,}})')) AS word FROM log),
-k AS (SELECT * FROM w WHERE length(word) BETWEEN 2 AND 6 AND word NOT IN ('一个','这个','那个','什么','怎么','如何','可以','需要','没有','不是','就是','还是','因为','所以','但是','而且')),
+k AS (SELECT w.* FROM w JOIN log ON log.id = w.id AND log.correction_of IS NULL WHERE length(word) BETWEEN 2 AND 6 AND word NOT IN ('一个','这个','那个','什么','怎么','如何','可以','需要','没有','不是','就是','还是','因为','所以','但是','而且')),
 t AS (SELECT word, kid, count(*) AS together FROM k JOIN (SELECT DISTINCT id, kid FROM items WHERE kid IS NOT NULL) i ON i.id = k.id GROUP BY 1, 2), s AS (SELECT word, sum(together) AS total FROM t GROUP BY 1),
 r AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY together DESC, kid) AS p FROM t WHERE together >= 3)
-SELECT r.word, r.kid AS knowledge_id, r.together, CAST(s.total AS BIGINT) AS total, round(r.together / s.total, 2) AS confidence FROM r JOIN s ON s.word = r.word WHERE r.p <= 3 AND round(r.together / s.total, 2) >= 0.05""")
+SELECT r.word, r.kid AS knowledge_id, r.together, CAST(s.total AS BIGINT) AS total, round(r.together / s.total, 2) AS confidence FROM r JOIN s ON s.word = r.word JOIN unified_knowledge u ON u.id = r.kid WHERE r.p <= 3 AND round(r.together / s.total, 2) >= 0.05""")
 def word_patterns(spark, d):
-    return mining.cooccurrence(mining.distinct_log(load(spark, d, "interaction_log")), least=0.05)
+    log, known = mining.distinct_log(load(spark, d, "interaction_log")), load(spark, d, "unified_knowledge")
+    return mining.cooccurrence(log, known, least=0.05)
 
 
 @query("""SELECT substr(user_query, 1, 20) AS beginning, count(*) AS n FROM (SELECT DISTINCT id, user_query FROM interaction_log) WHERE length(user_query) >= 4 GROUP BY 1 ORDER BY n DESC, beginning LIMIT 20""")
@@ -303,7 +290,7 @@ def query_coverage(spark, d):
 
 
 @query("""SELECT event_type, count(*) AS n, round(sum(value), 4) AS total, min(value) AS least, max(value) AS most, round(sum(value) / count(*), 6) AS mean, list_sort(list(value))[CAST(floor(count(*) * 0.5) AS BIGINT) + 1] AS p50,
-list_sort(list(value))[CAST(floor(count(*) * 0.95) AS BIGINT) + 1] AS p95, list_sort(list(value))[CAST(floor(count(*) * 0.99) AS BIGINT) + 1] AS p99 FROM events WHERE value IS NOT NULL GROUP BY event_type""")
+list_sort(list(value))[CAST(floor(count(*) * 0.95) AS BIGINT) + 1] AS p95, list_sort(list(value))[CAST(floor(count(*) * 0.99) AS BIGINT) + 1] AS p99, count(*) FILTER (WHERE value <= 0.1) AS upto_0_1, count(*) FILTER (WHERE value <= 0.5) AS upto_0_5, count(*) FILTER (WHERE value <= 1) AS upto_1, count(*) FILTER (WHERE value <= 5) AS upto_5, count(*) FILTER (WHERE value <= 10) AS upto_10 FROM events WHERE value IS NOT NULL GROUP BY event_type""")
 def value_histogram(spark, d):
     return mining.histogram(load(spark, d, "events"), "event_type", "value")
 
@@ -442,13 +429,6 @@ def confidence_fold(spark, d):
     )
 
 
-@query("""SELECT 'pile' AS kind, user_id, count(*) AS n FROM unified_knowledge WHERE status = 'active' AND layer = 'instant' GROUP BY user_id HAVING count(*) > 10
-UNION ALL SELECT 'rejected', user_id, count(*) FROM unified_knowledge WHERE status = 'active' AND negative_feedback > positive_feedback + 3 GROUP BY user_id HAVING count(*) > 3
-UNION ALL SELECT 'conflicts', user_id, count(DISTINCT id) FROM feedback_log WHERE feedback_type = 'system_conflict' GROUP BY user_id""")
-def alerts(spark, d):
-    return composite.alerts(load(spark, d, "unified_knowledge"), load(spark, d, "feedback_log"))
-
-
 @query("""SELECT id, CASE WHEN status = 'conflict' THEN 'superseded' WHEN positive_feedback - 2 * negative_feedback <= -20 AND status = 'active' THEN 'superseded' ELSE status END AS status, CASE WHEN positive_feedback - 2 * negative_feedback <= -20 AND status = 'active' THEN id + 1000000000 ELSE replaced_by END AS replaced_by, replaces, content FROM unified_knowledge
 UNION ALL SELECT id + 1000000000, 'active', NULL, id, content || ' (revised)' FROM unified_knowledge WHERE positive_feedback - 2 * negative_feedback <= -20 AND status = 'active'""")
 def superseded_state(spark, d):

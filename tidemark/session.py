@@ -29,8 +29,9 @@ def build_session(master: str = "local[*]", app: str = "tidemark", **conf: str)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (``spark.checkpoint.dir``); a temporary one is set
-    only where none is configured, which is the single-machine case of the tests."""
+    """The folder all executors share (``spark.checkpoint.dir``).  A temporary one is set only where
+    none is configured and the session runs in one process; elsewhere that is an error, since
+    other machines would not see it."""
     conf = spark.sparkContext.getConf()
     configured = conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -38,6 +39,9 @@ def shared_dir(spark: SparkSession) -> str:
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError(f"spark.checkpoint.dir is not set: {master} needs a folder that all executors share")
     local = tempfile.mkdtemp(prefix="tidemark-")
     spark.sparkContext.setCheckpointDir(local)
     return local
@@ -46,7 +50,7 @@ def shared_dir(spark: SparkSession) -> str:
 _FOLDERS: set[str] = set()
 
 
-def _work_folder(spark: SparkSession) -> str:
+def work_folder(spark: SparkSession) -> str:
     """This application's own folder below the shared one, removed when Python ends."""
     path = os.path.join(shared_dir(spark), f"tidemark-{spark.sparkContext.applicationId}")
     if path not in _FOLDERS:
@@ -71,7 +75,7 @@ def materialise(df: DataFrame, name: str = "stage") -> DataFrame:
     Unlike a cached or locally checkpointed plan, the files outlive any executor, and the
     reader sees column statistics.  An empty result keeps its schema."""
     spark = df.sparkSession
-    path = os.path.join(_work_folder(spark), f"{name}-{uuid.uuid4().hex}")
+    path = os.path.join(work_folder(spark), f"{name}-{uuid.uuid4().hex}")
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
