@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
@@ -34,32 +34,36 @@ from tidemark.session import materialise
 
 TOKENIZERS = "/opt/tokenizers"
 SEED, FAN = 29, 16
+#: Share of the wanted tokens by which the drawn ones may differ where a target counts as met.
+TOLERANCE = 0.02
 #: Documents of one task of the first rounding.
 TASK_DOCS = 20_000
 _EPS = 1e-12
 _ENCODERS: dict = {}
 
 
-def _encoder(folder: str, name: str):
-    """The byte-level BPE ``name`` of the folder, loaded once per worker."""
-    if (folder, name) not in _ENCODERS:
+def _encoder(key: tuple[str, str], pattern: str, ranks: dict[bytes, int]):
+    """The byte-level BPE of these ranks, made once per worker."""
+    if key not in _ENCODERS:
         import tiktoken
 
-        spec = importlib.util.spec_from_file_location("_tokenizer_files", os.path.join(folder, "__init__.py"))
-        module = importlib.util.module_from_spec(spec)
-        spec.loader.exec_module(module)
-        with open(os.path.join(folder, name), "rb") as lines:
-            ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines)}
-        _ENCODERS[folder, name] = tiktoken.Encoding("own", pat_str=module.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return _ENCODERS[folder, name]
+        _ENCODERS[key] = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return _ENCODERS[key]
 
 
 def token_count(text: Column, folder: str = TOKENIZERS, name: str = "byte_bpe_50k.tiktoken") -> Column:
-    """Number of tokens of ``text``, 0 for null."""
+    """Number of tokens of ``text``, 0 for null.  The vocabulary is read here and sent to the tasks,
+    so that no other machine needs the folder; it has some ten thousand entries."""
+    spec = importlib.util.spec_from_file_location("_tokenizer_files", os.path.join(folder, "__init__.py"))
+    module = importlib.util.module_from_spec(spec)
+    spec.loader.exec_module(module)
+    with open(os.path.join(folder, name), "rb") as lines:
+        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines)}
+    sent, pattern = SparkSession.active().sparkContext.broadcast(ranks), module.PATTERN
 
     @pandas_udf("long")
     def count(values: pd.Series) -> pd.Series:
-        encode = _encoder(folder, name).encode_ordinary
+        encode = _encoder((folder, name), pattern, sent.value).encode_ordinary
         return values.map(lambda t: len(encode(t)) if t else 0)
 
     return count(text)
@@ -126,7 +130,7 @@ def _settle(planned: DataFrame, n_docs: int, seed: int) -> DataFrame:
     """All documents with extra 0 or 1."""
     blocks = max(1, -(-n_docs // TASK_DOCS))
     spread = planned.withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(blocks)).cast("long"))
-    spread = spread.repartition(min(blocks, 2_000), "block").sortWithinPartitions("block", "source", "doc_id")
+    spread = spread.repartition(blocks, "block").sortWithinPartitions("block", "source", "doc_id")
     level = materialise(spread.mapInPandas(_round(seed), _ROUNDED), "rounding")
     fraction = (F.col("extra") > 0) & (F.col("extra") < 1)
     settled = level.filter(~fraction)
@@ -150,8 +154,8 @@ def _settle(planned: DataFrame, n_docs: int, seed: int) -> DataFrame:
     return settled.unionByName(last)
 
 
-def _plan(docs: DataFrame, targets: DataFrame, total: int | None, folder: str) -> tuple[DataFrame, DataFrame, int]:
-    """(documents with tokens, one row per target with its plan, number of documents)."""
+def _plan(docs: DataFrame, targets: DataFrame, total: int | None, folder: str) -> tuple[DataFrame, DataFrame, int, int]:
+    """(documents with tokens, one row per target with its plan, number of documents, planned tokens)."""
     goals = targets.select(
         source_name(F.col("source")).alias("source"), F.col("target_share").cast("double").alias("target_share"),
         F.col("max_repeats").cast("int").alias("max_repeats"),
@@ -169,18 +173,20 @@ def _plan(docs: DataFrame, targets: DataFrame, total: int | None, folder: str) -
     want = F.col("target_share") * size
     copies = F.when(F.col("source_tokens") > 0, F.least(want / F.col("source_tokens"), F.col("max_repeats").cast("double"))).otherwise(0.0)
     plan = plan.withColumns({"wanted_tokens": F.round(want).cast("long"), "copies": copies})
-    return sized, materialise(plan, "plan"), int(row.n or 0)
+    return sized, materialise(plan, "plan"), int(row.n or 0), size
 
 
 def draw_mixture(
     docs: DataFrame, targets: DataFrame, total: int | None = None, seed: int = SEED, folder: str = TOKENIZERS
 ) -> tuple[DataFrame, DataFrame]:
     """(draws, shares).  draws: (doc_id, source, tokens, copies) of all documents of the
-    target sources, 0 copies included.  shares: per target what was wanted and reached.
+    target sources, 0 copies included.  shares: per target what was wanted and reached, as a share of
+    all tokens drawn and of the planned total; ``target_met`` compares the tokens drawn with those
+    wanted.
 
     ``total`` is the planned size in tokens, by default that of all documents of the target
     sources."""
-    sized, plan, n = _plan(docs, targets, total, folder)
+    sized, plan, n, planned_total = _plan(docs, targets, total, folder)
     # one row per target source: a table of at most 10,000 rows is sent to all tasks
     rates = plan.select("source", "copies")
     rates = F.broadcast(rates) if plan.limit(10_001).count() <= 10_000 else rates
@@ -201,6 +207,7 @@ def draw_mixture(
     shares = shares.select(
         "source", "target_share", "max_repeats", "n_docs", "source_tokens", "wanted_tokens", "drawn_tokens",
         "drawn_copies", "most_copies", F.round(reached, 6).alias("reached_share"),
-        (F.col("copies") * F.col("source_tokens") >= F.col("wanted_tokens") - 1).alias("target_met"),
+        F.when(F.lit(planned_total) > 0, F.round(F.col("drawn_tokens") / planned_total, 6)).otherwise(0.0).alias("share_of_plan"),
+        (F.abs(F.col("drawn_tokens") - F.col("wanted_tokens")) <= TOLERANCE * F.col("wanted_tokens")).alias("target_met"),
     )
     return draws, shares
