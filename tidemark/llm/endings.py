@@ -37,6 +37,9 @@ BREAK_MARKS = re.compile(
     r"(?:\s|…|\.{2,}|�|[\[(<（](?:truncated|cut|cut off|continued|more|snip|\.\.\.|…|未完|截断|省略)[\])>）])+$",
     re.I,
 )
+_BREAK_CHARS = frozenset("…�])>）.")
+#: Marks with which a structure can begin; a text without any that ends with one terminator is finished.
+_BEGINS = re.compile("[\"`<*“«（【「『({\\[]")
 _OPEN = {"(": ")", "[": "]", "{": "}", "“": "”", "«": "»", "（": "）", "【": "】", "「": "」", "『": "』"}
 _CLOSE = {v: k for k, v in _OPEN.items()}
 _STRUCT = re.compile("[" + re.escape("".join(_OPEN) + "".join(_CLOSE)) + "]|```|<!--|-->")
@@ -203,6 +206,18 @@ class EndModel:
         return sum(min(n, 40) * (e + 0.5) / (n + 1) for n, e in found) / weight if weight else None
 
 
+def _body_end(text: str) -> int:
+    """Where a mark of a break, or white space, at the end of ``text`` begins."""
+    if not text or not (text[-1] in _BREAK_CHARS or text[-1].isspace()):
+        return len(text)
+    # marks are short, so the search begins near the end unless all of that belongs to one
+    start = max(0, len(text) - 200)
+    m = BREAK_MARKS.search(text, start)
+    if m and m.start() == start and start:
+        m = BREAK_MARKS.search(text)
+    return m.start() if m else len(text)
+
+
 def marked(text: str) -> bool:
     """Whether ``text`` ends with a terminator, maybe with closers or ornaments after it."""
     bare = text.rstrip()
@@ -214,9 +229,12 @@ def broken_text(text: str | None, model: EndModel, baseline: float = 1.0) -> boo
 
     ``baseline`` is the share of the source's values that end with a terminator; it decides
     where the model has no evidence."""
+    # most texts, at the cost of one search
+    if text and text[-1] in TERMINATORS and text[-2:-1] not in TERMINATORS and text[-2:-1].isalnum() and not _BEGINS.search(text):
+        return False
     if is_empty(text):
         return False
-    bare = BREAK_MARKS.sub("", text)
+    bare = text[:_body_end(text)]
     after = text[len(bare):].strip()
     if after:
         # a mark of a break is believed unless the text before it was finished
