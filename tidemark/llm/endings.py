@@ -18,6 +18,8 @@ import numpy as np
 import xxhash
 
 SAMPLE = 8_000
+#: How sure the model has to be at most that a value without a terminator is finished.
+SURE = 0.8
 _CJK = "一-鿿"
 #: Characters before the end that hold the longest context.
 _TAIL = 240
@@ -109,6 +111,8 @@ class EndModel:
     """n-gram counts of sentence ends, fitted on ``texts``."""
 
     ORDERS = (("c", 7), ("f", 5), ("c", 5), ("f", 3))
+    #: Shorter contexts, asked where none of the others was seen.
+    SHORTER = (("c", 3), ("f", 1))
 
     def __init__(self, texts: list[str], vocabulary: int = 6_000, function_words: int = 70):
         seen: Counter = Counter()
@@ -162,8 +166,9 @@ class EndModel:
                 coarse.append("N")
         return fine, coarse
 
-    def _contexts(self, fine: list[str], coarse: list[str], i: int) -> list[str]:
-        return [g + " ".join((fine if g == "f" else coarse)[max(0, i + 1 - n):i + 1]) for g, n in self.ORDERS]
+    @staticmethod
+    def _grams(fine: list[str], coarse: list[str], i: int, orders: tuple) -> list[str]:
+        return [g + " ".join((fine if g == "f" else coarse)[max(0, i + 1 - n):i + 1]) for g, n in orders]
 
     def _count(self, tokens: list[str], ends: Counter, total: Counter) -> None:
         fine, coarse = self._classes(tokens)
@@ -178,7 +183,7 @@ class EndModel:
                 end = 1
             else:
                 end = int(tokens[i + 1] in TERMINATORS or tokens[i + 1] == "\n")
-            for key in self._contexts(fine, coarse, i):
+            for key in self._grams(fine, coarse, i, self.ORDERS + self.SHORTER):
                 total[key] += 1
                 if end:
                     ends[key] += 1
@@ -195,7 +200,11 @@ class EndModel:
         fine, coarse = self._classes(tokens)
         if fine[-1] == "N" and tokens[-1][0].islower():
             return True, []
-        return False, [x for key in self._contexts(fine, coarse, len(tokens) - 1) if (x := self._lookup(key))]
+        for orders in (self.ORDERS, self.SHORTER):
+            found = [x for key in self._grams(fine, coarse, len(tokens) - 1, orders) if (x := self._lookup(key))]
+            if found:
+                return False, found
+        return False, []
 
     def finished(self, text: str) -> float | None:
         """Probability that a sentence ends where ``text`` does; None without evidence."""
@@ -227,8 +236,8 @@ def marked(text: str) -> bool:
 def broken_text(text: str | None, model: EndModel, baseline: float = 1.0) -> bool:
     """Whether prose stops before its word, sentence, listing or structure is finished.
 
-    ``baseline`` is the share of the source's values that end with a terminator; it decides
-    where the model has no evidence."""
+    ``baseline`` is the share of the values of the same source and field that end with a terminator:
+    the more of them do, the surer the model has to be that a value without one is finished."""
     # most texts, at the cost of one search
     if text and text[-1] in TERMINATORS and text[-2:-1] not in TERMINATORS and text[-2:-1].isalnum() and not _BEGINS.search(text):
         return False
@@ -251,9 +260,8 @@ def broken_text(text: str | None, model: EndModel, baseline: float = 1.0) -> boo
     if body.rstrip()[-1:] in ",;:，、；：（([{=":
         return True
     p = model.finished(body.rstrip(CLOSERS + " "))
-    if p is None:
-        return baseline >= 0.8
-    return p < 0.5
+    # between an even chance and SURE; without any evidence the baseline decides alone
+    return baseline >= SURE if p is None else p < min(max(baseline, 0.5), SURE)
 
 
 def broken_json(text: str | None, model: EndModel, baseline: float = 1.0) -> bool:
