@@ -44,7 +44,9 @@ _BREAK_CHARS = frozenset("…�])>）.")
 _BEGINS = re.compile("[\"`<*“«（【「『({\\[]")
 _OPEN = {"(": ")", "[": "]", "{": "}", "“": "”", "«": "»", "（": "）", "【": "】", "「": "」", "『": "』"}
 _CLOSE = {v: k for k, v in _OPEN.items()}
-_STRUCT = re.compile("[" + re.escape("".join(_OPEN) + "".join(_CLOSE)) + "]|```|<!--|-->")
+_STRUCT = re.compile("```|\\*\\*|<!--|-->|</?[a-zA-Z][a-zA-Z0-9]*(?:\\s[^<>]*)?/?>|[\"`" + re.escape("".join(_OPEN) + "".join(_CLOSE)) + "]")
+# Elements that need no end.
+_VOID = {"br", "hr", "img", "input", "p", "li", "td", "tr", "th", "meta", "link", "wbr"}
 _ORNAMENT = re.compile(r"(?:\s*(?:[:;]-?[)(DP]|\((?:ok|end|done|fin|fertig|hecho)\)|（完）|[^\w\s.,:;!?\-–—(){}\[\]<>=/\\|#+&%$§@\"'`。！？，、；：（）【】「」『』“”«»…]+))+$", re.I)
 _TAGS = re.compile(r"<[^<>]*>|[\u200b\u200c\u200d\u2060\ufeff]|&nbsp;")
 _MARKED = re.compile(rf"(?:[{re.escape(TERMINATORS)}]|```)[{re.escape(CLOSERS)}\s]*$")
@@ -61,8 +63,9 @@ def is_empty(answer: str | None) -> bool:
 
 
 def open_structure(text: str) -> str:
-    """The innermost structure that is open at the end of ``text``, "" if none; closers
-    without an opener, as in smileys and list numbers, do not matter."""
+    """The innermost structure that is open at the end of ``text``, "" if none: brackets, quotes,
+    code, bold type, comments and elements.  Closers without an opener, as in smileys and list
+    numbers, do not matter, nor elements that need no end."""
     stack: list[str] = []
     for m in _STRUCT.finditer(text):
         mark = m.group()
@@ -73,11 +76,24 @@ def open_structure(text: str) -> str:
                 stack.append(mark)
         elif "```" in stack:
             continue
+        elif mark in ('"', "`", "**"):
+            # marks that close themselves; an inch or a list star has white space or a number before it
+            if mark in stack:
+                del stack[stack.index(mark):]
+            elif not (mark == '"' and text[m.start() - 1:m.start()].isdigit()) and not (mark == "**" and text[m.end():m.end() + 1].isspace()):
+                stack.append(mark)
         elif mark == "<!--":
             stack.append(mark)
         elif mark == "-->":
             if "<!--" in stack:
                 del stack[stack.index("<!--"):]
+        elif mark[0] == "<":
+            name = mark.strip("</>").split()[0].lower()
+            if mark[1] == "/":
+                if f"<{name}>" in stack:
+                    del stack[len(stack) - 1 - stack[::-1].index(f"<{name}>"):]
+            elif not mark.endswith("/>") and name not in _VOID:
+                stack.append(f"<{name}>")
         elif mark in _OPEN:
             if not (mark in "([{" and text[m.start() - 1:m.start()] in (":", ";", "-", "=")):
                 stack.append(mark)
