@@ -21,7 +21,7 @@ SAMPLE = 8_000
 #: How sure the model has to be at most that a value without a terminator is finished.
 SURE = 0.8
 _CJK = "一-鿿"
-#: Characters before the end that hold the longest context.
+#: Characters before the end that are looked at first.
 _TAIL = 240
 _TOKEN = re.compile(
     rf"[^\W\d_{_CJK}]+(?:[._][^\W\d_{_CJK}]+)+|\d{{4}}-\d\d-\d\d|\d+(?:\.\d+)+|\d+|[{_CJK}]|[^\W\d_{_CJK}]+|\n|[^\w\s]"
@@ -206,12 +206,16 @@ class EndModel:
 
     def _evidence(self, text: str) -> tuple[bool, list[tuple[int, int]]]:
         """(whether the last word is a piece of one, counts of the contexts before the end)."""
-        tokens = _TOKEN.findall(text[-_TAIL:])
-        while tokens and tokens[-1] == "\n":
-            tokens.pop()
+        tail, tokens, most = 0, [], self.ORDERS[0][1]
+        # a stretch from the end that holds the longest context, and one token that its start may cut
+        while tail < len(text) and len(tokens) <= most:
+            tail = min(len(text), 2 * tail or _TAIL)
+            tokens = _TOKEN.findall(text[len(text) - tail:])
+            while tokens and tokens[-1] == "\n":
+                tokens.pop()
         if not tokens:
             return False, []
-        if len(text) <= _TAIL:
+        if tail == len(text):
             tokens.insert(0, "\n")
         fine, coarse = self._classes(tokens)
         if fine[-1] == "N" and tokens[-1][0].islower():

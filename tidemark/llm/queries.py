@@ -77,6 +77,10 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": f"""WITH {_SETS} SELECT a.id AS id_a, b.id AS id_b FROM sets a JOIN sets b ON a.id < b.id AND len(a.t) > 0 AND len(b.t) > 0 AND 10 * least(len(a.t), len(b.t)) >= 8 * greatest(len(a.t), len(b.t))
 WHERE 18 * len(list_intersect(a.t, b.t)) >= 8 * (len(a.t) + len(b.t))""",
+        "p1_groups": f"""WITH RECURSIVE {_SETS}, e AS (SELECT a.id AS x, b.id AS y FROM sets a JOIN sets b ON a.id <> b.id AND len(a.t) > 0 AND len(b.t) > 0 AND 10 * least(len(a.t), len(b.t)) >= 8 * greatest(len(a.t), len(b.t))
+ WHERE 18 * len(list_intersect(a.t, b.t)) >= 8 * (len(a.t) + len(b.t))), reach(id, r) AS (SELECT id, id FROM unified_knowledge UNION SELECT reach.id, e.y FROM reach JOIN e ON e.x = reach.r),
+g AS (SELECT id, min(r) AS group_id FROM reach GROUP BY 1), n AS (SELECT x, count(*) AS links FROM e GROUP BY 1), c AS (SELECT id, CASE WHEN len(t) > 0 THEN count(*) OVER (PARTITION BY array_to_string(list_sort(t), ' ')) ELSE 1 END AS copies FROM sets)
+SELECT g.id, g.group_id, coalesce(c.copies, 1) AS copies, coalesce(n.links, 0) AS links FROM g LEFT JOIN n ON n.x = g.id LEFT JOIN c ON c.id = g.id""",
         "p6_found": """WITH v AS (SELECT entry_id AS id, embed_dim AS d, embedding::DOUBLE[] AS e FROM knowledge_embeddings WHERE len(embedding) = embed_dim AND len(embedding) > 0
   AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
 s AS (SELECT a.id AS x, b.id AS y, round(list_cosine_similarity(a.e, b.e), 6) AS c FROM v a JOIN v b ON a.d = b.d AND a.id <> b.id),
