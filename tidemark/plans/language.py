@@ -268,7 +268,19 @@ def entity_pair_counts(spark, d):
     return named.groupBy("entity_a", "entity_b", "relation_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+_KEPT = [
+    (r"(?:我|我们|本人)(?:喜欢|偏好|倾向于|习惯|常用|使用|用|做|想要|需要|关注|看好|做)\s*(.{4,60})", "identity"), (r"(?:我是|我是一个|我是位|我是个)\s*(.{4,60})", "identity"),
+    (r"我(?:住在|工作在|毕业于|来自)\s*(.{4,60})", "identity"), (r"(?:应该|必须|一定|得|要)\s*(.{4,80})", "rule"), (r"(?:不能|不可以|不要|禁止|避免|别)\s*(.{4,80})", "rule"),
+    (r"(?:每次|总是|永远|从不)\s*(.{4,60})", "rule"), (r"(?:先用|再|然后|接着|最后)(?:\s*用|使用|调|执行)?\s*(.{4,60})", "workflow"), (r"(?:用|使用|通过|借助)\s*(.{4,40})(?:来|做|实现|完成|分析|处理)", "workflow"),
+    (r"((?:成本|成本价|买入|建仓)(?:价|价格|成本)?[是为：:\s]*\d+\.?\d*)", "raw_fact"), (r"((?:目前|当前|现|现在)(?:持仓|持有|仓位|持股)\s*\d+)", "raw_fact"),
+    (r"((?:止损|止盈|目标价)[是为：:\s]*\d+\.?\d*)", "strategy"), (r"((?:RSI|MACD|KDJ|MA[0-9]+|BOLL|量比|换手).{2,30})", "strategy"), (r"((?:主力|北向|资金|净流入|净流出).{2,30})", "strategy"),
+]
+_EVERY = "flatten([" + ", ".join(f"list_transform(regexp_extract_all(user_query, '{p}', 1), lambda c: {{'c': trim(c), 'd': '{d}'}})" for p, d in _KEPT) + "])"
+
+
+@query(rf"""WITH q AS (SELECT DISTINCT id, user_query FROM interaction_log WHERE length(user_query) >= 6), u AS (SELECT id, unnest({_EVERY}) AS s, generate_subscripts({_EVERY}, 1) AS pos FROM q),
+b AS (SELECT id, pos, regexp_replace(s.c, '^[，。,．\s]+|[，。,．\s]+$', '', 'g') AS content, s.d AS domain FROM u WHERE length(s.c) >= 4)
+SELECT id, content, domain FROM b QUALIFY row_number() OVER (PARTITION BY id, substr(lower(content), 1, 40) ORDER BY pos) = 1""")
 def kept_statements(spark, d):
     log = load(spark, d, "interaction_log").select("id", "user_query").filter(F.col("user_query").isNotNull()).distinct()
     return log.select("id", F.explode(patterns.statements(F.col("user_query"))).alias("s")).select("id", "s.content", "s.domain")
