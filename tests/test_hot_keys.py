@@ -42,3 +42,18 @@ def test_profiles_against_brute_force(spark):
         assert abs(r.weight_sum - sum(weights)) < 1e-9
         assert r.top_partner == min(others, key=lambda o: (-others[o], o))
         assert r.median_weight == weights[(len(weights) + 1) // 2 - 1]
+
+
+def test_running_sums_of_hot_and_null_keys(spark):
+    from pyspark.sql import functions as F
+
+    from tidemark.operators.hot_keys import running_sum
+
+    rows = [("hot" if i % 3 else None, i % 7, i) for i in range(200)] + [("cold", 1, 900)]
+    df = spark.createDataFrame(rows, "k string, w long, id long").repartition(8)
+    got = {r.id: r.upto for r in running_sum(df, ["k"], [F.col("w").desc(), F.col("id")], F.col("id") + 1, "upto").collect()}
+    want, sums = {}, {}
+    for k, w, i in sorted(rows, key=lambda r: (str(r[0]), -r[1], r[2])):
+        sums[k] = sums.get(k, 0) + i + 1
+        want[i] = sums[k]
+    assert got == want

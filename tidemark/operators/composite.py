@@ -35,6 +35,9 @@ NAME = r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\b"
 SESSION_DAY = r"(\d{1,2})\s+(January|February|March|April|May|June|July|August|September|October|November|December),?\s+(\d{4})"
 MOST_VARIANTS, HOP_NAMES, HOP_ROWS, HOP_SCORE, LOOKED_AT = 4, 2, 5, 0.3, 10
 LEAST_WEIGHT, MOST_NODES, QUERY_NAMES = 0.3, 50, 3
+# What a context says before its lines, and without any.
+DATES_HEAD, DATE_LINE = "Session dates:\n", "  Session {}: {}\n"
+NEGATION_NOTE, NO_CONTEXT = "[NOTE: This question asks about something that did NOT happen]\n", "[No relevant context found.]"
 MONTHS = [datetime.date(2000, m, 1).strftime("%B") for m in range(1, 13)]
 
 
@@ -199,12 +202,12 @@ def context(
         few = few.withColumn("content", patterns.resolve_relative(F.col("content"), F.lit(day)))
     few = retrieval.first_per_prefix(few, "content", order).withColumn("_all", F.lit(0))
     lines = retrieval.cut_to_budget(few, "_all", order, "content", budget)  # one list by its nature
-    head = "Session dates:\n" + "".join(f"  Session {i + 1}: {d}\n" for i, d in enumerate(dates)) + "\n" if dates else ""
+    head = DATES_HEAD + "".join(DATE_LINE.format(i + 1, d) for i, d in enumerate(dates)) + "\n" if dates else ""
     if re.search(patterns.NEGATED_QUERY, question):
-        head += "[NOTE: This question asks about something that did NOT happen]\n"
+        head += NEGATION_NOTE
     line = F.struct("place", F.concat(F.lit("["), F.col("place"), F.lit("] "), F.col("body")).alias("t"))
     listed = F.array_join(F.transform(F.sort_array(F.collect_list(line)), lambda x: x["t"]), "\n")
-    empty = F.lit("[No relevant context found.]")
+    empty = F.lit(NO_CONTEXT)
     return lines.agg(F.when(F.count(F.lit(1)) > 0, F.concat(F.lit(head), listed)).otherwise(empty).alias("context"))
 
 

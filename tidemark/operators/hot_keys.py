@@ -83,6 +83,21 @@ def ranked_values(values: DataFrame, keys: list[str], value: str, count: str) ->
     return ranged.join(offsets, same).withColumn("upto", F.col("ahead") + F.sum("c").over(within)).select(*keys, "v", "c", "upto", "all_c")
 
 
+def running_sum(rows: DataFrame, keys: list[str], order: list[Column], cost: Column, name: str) -> DataFrame:
+    """``rows`` with the sum of ``cost`` over the rows of their keys up to them in ``order``.
+
+    Rows are range-partitioned by keys and order, so that those of one key are spread over
+    several tasks; each sums its own range and adds what the ranges before it hold."""
+    ranged = rows.withColumn("_cost", cost).repartitionByRange(*[F.col(k) for k in keys], *order).withColumn("_block", F.spark_partition_id())
+    ranged = materialise(ranged, "running")
+    per_block = ranged.groupBy(*keys, "_block").agg(F.sum("_cost").alias("_bc"))
+    before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per_block.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_block").alias("_b"), F.coalesce(F.sum("_bc").over(before), F.lit(0)).alias("_ahead"))
+    within = Window.partitionBy(*keys, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys] + [F.col("_block") == F.col("_b")]
+    return ranged.withColumn("_in", F.sum("_cost").over(within)).join(offsets, same).withColumn(name, F.col("_ahead") + F.col("_in")).select(*rows.columns, name)
+
+
 def weighted_percentile(values: DataFrame, keys: list[str], value: str, count: str, q: float, name: str) -> DataFrame:
     """Exact lower percentile per key of weighted values: the first value whose cumulated
     count reaches ``q`` of the key's count."""

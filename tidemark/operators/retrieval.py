@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.scores import cosine, weight
 from tidemark.functions.text import asked_terms, index_terms, like_fragments
+from tidemark.operators.hot_keys import running_sum
 from tidemark.session import materialise
 
 K1, B = 1.2, 0.75
@@ -153,8 +154,7 @@ def merge_branches(branches: list[tuple[str, DataFrame]]) -> DataFrame:
 
 def within_budget(rows: DataFrame, group: str, order: list[Column], cost: Column, budget: float) -> DataFrame:
     """Rows whose running cost per group, in order, stays within the budget."""
-    running = Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("running", F.sum(cost).over(running)).filter(F.col("running") <= budget)
+    return running_sum(rows, [group], order, cost, "running").filter(F.col("running") <= budget)
 
 
 def first_per_prefix(rows: DataFrame, text: str, order: list[Column], chars: int = 60) -> DataFrame:

@@ -38,11 +38,14 @@ def sessions(events: DataFrame, time: str, key: str, gap: str = "30 minutes", la
 def rate_windows(events: DataFrame, time: str, key: str, order: str, seconds: int = 60, limit: int = 60) -> DataFrame:
     """Batch: per event the number of the key's events in the ``seconds`` before it, and
     whether it is beyond the limit."""
-    us = F.unix_micros(F.col(time).cast("timestamp"))
-    before = Window.partitionBy(key).orderBy(us).rangeBetween(-seconds * 1_000_000, -1)
-    return events.withColumn("recent", F.count(F.lit(1)).over(before)).withColumn("over", F.col("recent") >= limit).select(
-        order, key, "recent", "over"
-    )
+    us, wide = F.unix_micros(F.col(time).cast("timestamp")), seconds * 1_000_000
+    # a piece of time as wide as the window sees its own events and those of the piece before it,
+    # so a key with a third of all events is spread over its pieces
+    piece = F.floor(us / wide)
+    both = events.withColumn("_us", us).withColumn("_piece", F.explode(F.array(piece, piece + 1)))
+    before = Window.partitionBy(key, "_piece").orderBy("_us").rangeBetween(-wide, -1)
+    counted = both.withColumn("recent", F.count(F.lit(1)).over(before)).filter(F.col("_piece") == F.floor(F.col("_us") / wide))
+    return counted.withColumn("over", F.col("recent") >= limit).select(order, key, "recent", "over")
 
 
 def running_confidence(events: DataFrame, key: str = "knowledge_id", kind: str = "feedback_type", time: str = "created_at") -> DataFrame:
