@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import patterns, scores, text
 from tidemark.operators import beliefs, composite, identity, lifecycle, mining, retrieval, upkeep, writing
-from tidemark.plans.language import _LOW, _RELATIVE, _STOP, _index, _tokens
+from tidemark.plans.language import _COMP, _NEG, _RELATIVE, _STOP, _index, _tokens
 from tidemark.plans.registry import Registry
 from tidemark.session import materialise
 from tidemark.sources.tables import load
@@ -79,19 +79,52 @@ z AS (SELECT new_id, probe, count(*) AS n FROM f GROUP BY 1, 2), b AS (SELECT ne
 SELECT f.new_id, f.old_id, CAST(min(f.probe * 100 + f.place) AS INTEGER) AS rank FROM f JOIN b ON b.new_id = f.new_id AND b.probe = f.probe WHERE b.before < 5 GROUP BY 1, 2"""
 
 
+_PAIRS = _PROBES[:_PROBES.rindex("SELECT f.new_id")].rstrip() + ", pairs AS (" + _PROBES[_PROBES.rindex("SELECT f.new_id"):] + ")"
+
+
+def _domain(c: str) -> str:
+    return (
+        f"CASE WHEN regexp_matches(lower({c}), '我|偏好|喜欢|习惯|用') THEN CASE WHEN length({c}) < 40 THEN 'identity' ELSE 'behavior' END "
+        f"WHEN regexp_matches(lower({c}), '应该|必须|不能|可以|要') THEN CASE WHEN length({c}) < 60 THEN 'rule' ELSE 'workflow' END "
+        f"WHEN regexp_matches(lower({c}), '股票|仓位|止损|买入|卖出|策略') THEN 'strategy' ELSE 'raw_fact' END"
+    )
+
+
+def _hash(c: str) -> str:
+    return rf"substr(sha256(lower(trim(regexp_replace(regexp_replace({c}, '<[^>]+>', '', 'g'), '\s+', ' ', 'g')))), 1, 16)"
+
+
+# every candidate is three steps, in the order of the rules; a step is taken if it is better than what was taken before
+_TARGETS = f"""{_PAIRS}, x AS (SELECT p.new_id, p.old_id, p.rank, {_domain('n.content')} = {_domain('k.content')} AS same, list_distinct({_tokens('n.content')}) AS a, list_distinct({_tokens('k.content')}) AS b, regexp_matches(lower(n.content), '{_COMP}') AS adds
+  FROM pairs p JOIN n ON n.id = p.new_id JOIN unified_knowledge k ON k.id = p.old_id WHERE k.status = 'active'),
+y AS (SELECT *, len(list_intersect(a, b)) AS sh, CASE WHEN len(a) > 0 AND len(b) > 0 THEN len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) ELSE 0 END AS sim FROM x),
+ev AS (SELECT new_id, rank, old_id, 1 AS step, 'contradict' AS action, same AND sim > 0.40 AND sh >= 3 AND list_has_any(a, {_NEG}) AND NOT list_has_any(b, {_NEG}) AS holds, sim FROM y
+  UNION ALL SELECT new_id, rank, old_id, 2, 'fuzzy_dup', same AND (sim > 0.60 OR (len(a) > 0 AND sh / len(a) > 0.90) OR (len(b) > 0 AND sh / len(b) > 0.90)), sim FROM y
+  UNION ALL SELECT new_id, rank, old_id, 3, 'complement', same AND sim BETWEEN 0.40 AND 0.85 AND adds, sim FROM y),
+ls AS (SELECT new_id, list({{'score': sim::DOUBLE, 'id': old_id, 'action': action, 'holds': holds}} ORDER BY rank, old_id, step) AS l FROM ev GROUP BY new_id),
+best AS (SELECT new_id, list_reduce(list_prepend({{'score': 0::DOUBLE, 'id': NULL::BIGINT, 'action': 'new', 'holds': true}}, l), lambda s, e: CASE WHEN e.holds AND e.score > s.score AND NOT (e.action = 'fuzzy_dup' AND s.action = 'contradict') THEN e ELSE s END) AS s FROM ls),
+ex AS (SELECT {_hash('content')} AS h, user_id, min(id) AS id FROM unified_knowledge WHERE status = 'active' GROUP BY 1, 2),
+targets AS (SELECT n.id AS new_id, CASE WHEN ex.id IS NOT NULL THEN 'exact_dup' ELSE coalesce(best.s.action, 'new') END AS action, CASE WHEN ex.id IS NOT NULL THEN ex.id ELSE best.s.id END AS target_id,
+  round(CASE WHEN ex.id IS NOT NULL THEN 1 ELSE coalesce(best.s.score, 0) END, 3)::DOUBLE AS similarity FROM n LEFT JOIN ex ON ex.h = {_hash('n.content')} AND ex.user_id = n.user_id LEFT JOIN best ON best.new_id = n.id WHERE trim(n.content) <> '')"""
+
+
 @query(f"WITH {_PROBES}")
 def merge_candidates(spark, d):
     return writing.candidates(_incoming(spark, d), load(spark, d, "unified_knowledge")).withColumn("rank", F.col("rank").cast("int"))
 
 
-@query()
+@query(f"WITH {_TARGETS} SELECT * FROM targets")
 def merge_targets(spark, d):
     """How each text of a batch is taken in; equal to a plain loop in the tests."""
     store, new = load(spark, d, "unified_knowledge"), _incoming(spark, d)
     return writing.merge_targets(new, store, writing.candidates(new, store))
 
 
-@query()
+@query(f"""WITH {_TARGETS}, into_ AS (SELECT t.target_id AS id, arg_min(n.content, t.new_id) AS new, min(t.new_id) AS new_id FROM targets t JOIN n ON n.id = t.new_id WHERE t.action IN ('fuzzy_dup', 'complement') GROUP BY 1),
+mm AS (SELECT k.*, i.new, list_distinct({_tokens('k.content')}) AS a, list_distinct({_tokens("coalesce(i.new, '')")}) AS b FROM unified_knowledge k LEFT JOIN into_ i ON i.id = k.id),
+cc AS (SELECT *, CASE WHEN new IS NULL THEN content WHEN len(a) = 0 OR len(b) = 0 THEN new WHEN len(list_intersect(a, b)) / greatest(len(a), len(b)) > 0.9 OR (len(list_intersect(a, b)) / len(b) > 0.85 AND length(content) > length(new) * 1.5) THEN content ELSE content || ' § ' || new END AS body FROM mm)
+SELECT id, body AS content, CASE WHEN new IS NULL THEN match_hash ELSE {_hash('body')} END AS match_hash, layer, status, user_id FROM cc
+UNION ALL SELECT t.new_id, trim(n.content), {_hash('n.content')}, 'instant', 'active', n.user_id FROM targets t JOIN n ON n.id = t.new_id WHERE t.action <> 'exact_dup' AND t.new_id NOT IN (SELECT new_id FROM into_)""")
 def state_after_writing(spark, d):
     store, new = load(spark, d, "unified_knowledge"), _incoming(spark, d)
     targets = materialise(writing.merge_targets(new, store, writing.candidates(new, store)), "targets")
