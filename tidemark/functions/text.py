@@ -137,9 +137,10 @@ def fingerprint(*parts: Column) -> Column:
     return F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, 16)
 
 
-def merged(old: Column, new: Column) -> Column:
-    """Two related texts as one: the old one where the new adds little, else both."""
-    a, b = token_set(old), token_set(new)
+def merged(old: Column, new: Column, a: Column | None = None, b: Column | None = None) -> Column:
+    """Two related texts as one: the old one where the new adds little, else both; ``a`` and ``b`` are
+    their token sets where they are known."""
+    a, b = token_set(old) if a is None else a, token_set(new) if b is None else b
     shared = F.size(F.array_intersect(a, b))
     most, ours = shared / F.greatest(F.size(a), F.size(b)), shared / F.size(b)
     keep = (most > 0.9) | ((ours > 0.85) & (F.length(old) > F.length(new) * 1.5))

@@ -20,6 +20,7 @@ from pyspark.sql.functions import pandas_udf
 from tidemark.functions import patterns, scores, text
 from tidemark.operators import graph, retrieval
 from tidemark.plugins import Embedder, HashingEmbedder, Scorer  # noqa: F401
+from tidemark.session import materialise
 
 # Words that widen a question.
 SYNONYMS = {
@@ -121,9 +122,9 @@ def by_graph(docs: DataFrame, edges: DataFrame, names: list[str], depth: int = 2
     """(id, score, paths): documents that mention a node reached from the names, with the greatest
     weight over depth, and the nodes."""
     start = docs.sparkSession.createDataFrame([(n,) for n in names] or [(None,)], "node string")
-    best = graph.nearest_nodes(graph.traverse(edges, start, depth, least), nodes).groupBy("node").agg(
+    best = materialise(graph.nearest_nodes(graph.traverse(edges, start, depth, least), nodes).groupBy("node").agg(
         F.max(F.col("weight") / F.col("depth")).alias("s")
-    ).withColumnRenamed("node", "term")
+    ).withColumnRenamed("node", "term"), "nodes")
     return graph.mentions(docs, best, F.col("id"), F.col("content")).join(F.broadcast(best), "term").groupBy("id").agg(
         F.max("s").alias("score"), F.sort_array(F.collect_set("term")).alias("paths")
     )
@@ -166,7 +167,8 @@ def hybrid(
     near = retrieval.nearest_exact(vectors.join(seen.select(F.col("id").alias("entry_id")), "entry_id"), vector, 2 * k, "entry_id", "embedding")
     linked = by_graph(seen, edges, query_names(query)[:QUERY_NAMES]).orderBy(F.col("score").desc(), "id").limit(2 * k)
     branches = [("vector", near.withColumnRenamed("similarity", "score")), ("graph", linked)]
-    if retrieval.merge_branches(branches).limit(k).count() < k:
+    first = materialise(retrieval.merge_branches(branches), "branches")
+    if first.limit(k).count() < k:
         words = full_text(docs, query, user, k)
         plain = without_negation(query)
         more = [(i, v) for i, v in enumerate(variants(query)) if v != query] + _hops(query) + ([(200, plain)] if plain else [])
@@ -179,7 +181,8 @@ def hybrid(
                 branches.append(("multi_hop", hop.groupBy("id").agg(F.max("score").alias("score"))))
             if plain:
                 branches.append(("negation_hop", _best(hits.filter(F.col("query_id") == 200), seen, k).select("id", "score")))
-    return reranked(retrieval.merge_branches(branches), seen, k, query, scorer)
+        first = retrieval.merge_branches(branches)
+    return reranked(first, seen, k, query, scorer)
 
 
 def session_day(dates: list[str]) -> datetime.date | None:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from tidemark.operators.hot_keys import normal_name
+from tidemark.session import materialise
 
 #: Characters of a term that are looked up at each place, and of all terms of one pass.
 PREFIX, BLOCK_CHARS = 3, 2_000_000
@@ -44,6 +45,8 @@ def traverse(edges: DataFrame, start: DataFrame, depth: int = 2, least: float =
     """(node, relation_type, depth, weight) reached from ``start`` (node) within ``depth``
     hops, start nodes left out: least depth and greatest weight per node and relation."""
     both = mirrored(edges, least)
+    if depth > 1:
+        both = materialise(both, "edges")
     frontier = start.select(normal_name(F.col("node")).alias("node")).distinct()
     reached = None
     for hop in range(1, depth + 1):

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import containment, content_hash, has_complement, has_negation, jaccard, merged, token_set
+from tidemark.functions.text import NEGATIONS, containment, content_hash, has_complement, jaccard, merged, token_set
 from tidemark.session import materialise
 
 # Change of confidence per event.
@@ -37,14 +37,16 @@ def upsert(state: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
     return kept.unionByName(changes.select(*state.columns))
 
 
-def merge_action(old: Column, new: Column) -> Column:
-    """How a new text relates to an old one: exact_dup, contradict, fuzzy_dup, complement, new."""
-    a, b = token_set(old), token_set(new)
+def merge_action(old: Column, new: Column, a: Column | None = None, b: Column | None = None) -> Column:
+    """How a new text relates to an old one: exact_dup, contradict, fuzzy_dup, complement, new; ``a``
+    and ``b`` are their token sets where they are known."""
+    a, b = token_set(old) if a is None else a, token_set(new) if b is None else b
     sim, cover = jaccard(a, b), F.greatest(containment(a, b), containment(b, a))
     shared = F.size(F.array_intersect(a, b))
+    negates = lambda s: F.arrays_overlap(s, F.array(*map(F.lit, NEGATIONS)))
     return (
         F.when(content_hash(old) == content_hash(new), "exact_dup")
-        .when((sim > RELATED) & (shared >= LEAST_SHARED) & has_negation(new) & ~has_negation(old), "contradict")
+        .when((sim > RELATED) & (shared >= LEAST_SHARED) & negates(b) & ~negates(a), "contradict")
         .when((sim > FUZZY) | (cover > COVERED), "fuzzy_dup")
         .when((sim >= RELATED) & (sim <= CLOSE) & has_complement(new), "complement")
         .otherwise("new")
@@ -53,9 +55,12 @@ def merge_action(old: Column, new: Column) -> Column:
 
 def merge_pairs(pairs: DataFrame, old: str, new: str) -> DataFrame:
     """``pairs`` with merge_action and merged_text, the text after following the action."""
-    out = pairs.withColumn("merge_action", merge_action(F.col(old), F.col(new)))
+    # token sets are written once: as expressions they would be computed for every use
+    sets = materialise(pairs.withColumns({"_a": token_set(F.col(old)), "_b": token_set(F.col(new))}), "pair-sets")
+    a, b = F.col("_a"), F.col("_b")
+    out = sets.withColumn("merge_action", merge_action(F.col(old), F.col(new), a, b))
     joined = F.col("merge_action").isin("fuzzy_dup", "complement")
-    return out.withColumn("merged_text", F.when(joined, merged(F.col(old), F.col(new))).otherwise(F.col(new)))
+    return out.withColumn("merged_text", F.when(joined, merged(F.col(old), F.col(new), a, b)).otherwise(F.col(new))).drop("_a", "_b")
 
 
 def confidence(events: DataFrame, key: str, kind: str, order: list[str], blocks: str) -> DataFrame:

@@ -99,6 +99,15 @@ def _weighed(state: Column, c: Column) -> Column:
     return take(state, (state["action"] == "new") & (sim < RELATED) & c["adds"] & F.coalesce(near, F.lit(False)), F.coalesce(c["cosine"], F.lit(0.0)), "complement")
 
 
+def _traits(rows: DataFrame, key: str, name: str) -> DataFrame:
+    """(key, hashes of the distinct tokens, domain, whether it negates, whether it adds) of texts."""
+    marks = F.array(*[F.xxhash64(F.lit(w)) for w in text.NEGATIONS])
+    hashed = F.array_distinct(F.transform(text.tokens(F.coalesce("content", F.lit(""))), lambda t: F.xxhash64(t)))
+    return rows.select(
+        key, hashed.alias(name), scores.text_domain(F.col("content")).alias(f"{name}_domain"), text.has_complement(F.col("content")).alias(f"{name}_adds"),
+    ).withColumn(f"{name}_negated", F.arrays_overlap(name, marks))
+
+
 def merge_targets(new: DataFrame, store: DataFrame, pairs: DataFrame, cosines: DataFrame | None = None) -> DataFrame:
     """(new_id, action, target_id, similarity): how each new text (id, user_id, content) is taken
     in: ``exact_dup`` of the active row of equal normal form of its user, else the best of its
@@ -108,18 +117,21 @@ def merge_targets(new: DataFrame, store: DataFrame, pairs: DataFrame, cosines: D
     active = store.filter(F.col("status") == "active")
     equal = active.select(text.content_hash(F.col("content")).alias("h"), "user_id", "id").groupBy("h", "user_id").agg(F.min("id").alias("exact"))
     same = fresh.withColumn("h", text.content_hash(F.col("new"))).join(equal, ["h", "user_id"], "left").select("new_id", "exact")
-    rows = pairs.join(fresh, "new_id").join(active.select(F.col("id").alias("old_id"), F.col("content").alias("old")), "old_id")
+    # what the rules ask of a text is read once, not once per pair
+    mine = materialise(_traits(fresh.select("new_id", F.col("new").alias("content")), "new_id", "a"), "new-traits")
+    theirs = materialise(_traits(active.select(F.col("id").alias("old_id"), "content"), "old_id", "b"), "old-traits")
+    rows = pairs.join(mine, "new_id").join(theirs, "old_id")
     rows = rows.join(cosines, ["new_id", "old_id"], "left") if cosines is not None else rows.withColumn("cosine", F.lit(None).cast("double"))
-    sets = rows.withColumns({"a": text.token_set(F.col("new")), "b": text.token_set(F.col("old"))})
+    rows = rows.withColumn("shared", F.size(F.array_intersect("a", "b")))
+    n, m, both = F.size("a"), F.size("b"), F.col("shared")
+    part = lambda size: F.when(size > 0, both / size).otherwise(0.0)
     item = F.struct(
-        "rank", F.col("old_id").alias("id"), text.jaccard(F.col("a"), F.col("b")).alias("sim"),
-        F.greatest(text.containment(F.col("a"), F.col("b")), text.containment(F.col("b"), F.col("a"))).alias("cover"),
-        F.size(F.array_intersect("a", "b")).alias("shared"), (scores.text_domain(F.col("new")) == scores.text_domain(F.col("old"))).alias("same_domain"),
-        text.has_negation(F.col("new")).alias("new_negated"), text.has_negation(F.col("old")).alias("old_negated"),
-        text.has_complement(F.col("new")).alias("adds"), "cosine",
+        "rank", F.col("old_id").alias("id"), F.when((n > 0) & (m > 0), both / (n + m - both)).otherwise(0.0).alias("sim"),
+        F.greatest(part(n), part(m)).alias("cover"), "shared", (F.col("a_domain") == F.col("b_domain")).alias("same_domain"),
+        F.col("a_negated").alias("new_negated"), F.col("b_negated").alias("old_negated"), F.col("a_adds").alias("adds"), "cosine",
     )
     # at most PROBES * PROBE_ROWS candidates per text
-    listed = sets.groupBy("new_id").agg(F.sort_array(F.collect_list(item)).alias("cs"))
+    listed = rows.groupBy("new_id").agg(F.sort_array(F.collect_list(item)).alias("cs"))
     none = F.struct(F.lit(0.0).alias("score"), F.lit(None).cast("long").alias("id"), F.lit("new").alias("action"))
     judged = listed.select("new_id", F.aggregate("cs", none, _weighed).alias("best"))
     exact = F.col("exact").isNotNull()
