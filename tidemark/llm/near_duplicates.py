@@ -18,9 +18,9 @@ Two records are similar when shared / all distinct tokens >= threshold.  Plan:
    kinds and the pair's smaller size decides, so no pair is lost.
 4. Rows of one signature are joined under the length filter, the positional filter (what can
    still be shared from the signature on, exact for the first shared tokens of a pair) and the
-   suffix filter: tokens are counted in eight fixed cells and the sum of differences bounds the
-   number of tokens not shared, which is the divide-and-bound of a suffix filter with its
-   pivots fixed beforehand.
+   suffix filter: tokens are counted in eight fixed cells, and whether their number is odd in
+   sixty-four; the sum of differences bounds the number of tokens not shared, which is the
+   divide-and-bound of a suffix filter with its pivots fixed beforehand.
 5. Surviving pairs are made distinct and verified once, on the token arrays.
 
 Nothing of the records is collected and no bucket is capped.  A bucket that is hot is split by
@@ -114,7 +114,7 @@ def _mixed(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 def _signer(listed: np.ndarray, counts: np.ndarray, rare: int, t: float, long: int):
     """Arrow function: (cid, toks) -> one row per signature."""
-    schema = pa.schema([("sig", pa.int64()), ("cid", pa.int64()), ("size", pa.int64()), ("cells", pa.int64())])
+    schema = pa.schema([("sig", pa.int64()), ("cid", pa.int64()), ("size", pa.int64()), ("cells", pa.int64()), ("odd", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -129,6 +129,7 @@ def _signer(listed: np.ndarray, counts: np.ndarray, rare: int, t: float, long: i
             # cells of the suffix filter: one byte each, saturated
             cell = np.bincount(doc * 8 + ((tok >> 7) & 7), minlength=8 * len(n)).reshape(-1, 8)
             cells = (np.minimum(cell, 255).astype(np.uint64) << (8 * np.arange(8, dtype=np.uint64))).sum(axis=1, dtype=np.uint64).view(np.int64)
+            odd = np.bitwise_xor.reduceat(np.uint64(1) << ((tok >> 13) & 63).astype(np.uint64), start).view(np.int64)
             if len(listed):
                 place = np.minimum(np.searchsorted(listed, tok), len(listed) - 1)
                 df = np.where(listed[place] == tok, counts[place], 0)
@@ -162,13 +163,13 @@ def _signer(listed: np.ndarray, counts: np.ndarray, rare: int, t: float, long: i
             for sig, d, size in out:
                 for lo in range(0, len(sig), 100_000):
                     s = slice(lo, lo + 100_000)
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (sig[s], ids[d[s]], size[s], cells[d[s]])], schema=schema)
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (sig[s], ids[d[s]], size[s], cells[d[s]], odd[d[s]])], schema=schema)
 
-    return run, "sig long, cid long, size long, cells long"
+    return run, "sig long, cid long, size long, cells long, odd long"
 
 
 def signatures(sets: DataFrame, t: float, rare: int | None = None) -> DataFrame:
-    """(sig, cid, size, cells): one row per prefix n-gram.  ``size`` packs the number of tokens,
+    """(sig, cid, size, cells, odd): one row per prefix n-gram.  ``size`` packs the number of tokens,
     how many can be shared from the signature on, its own included, and the kind in the last bit."""
     listed, counts, limit = frequencies(sets)
     run, kind = _signer(listed, counts, max(RARE if rare is None else rare, limit), t, LONG)
@@ -201,6 +202,7 @@ def similar_classes(sets: DataFrame, threshold: float = 0.8) -> DataFrame:
         & (smaller * 10_000 >= F.greatest(nx, ny) * k)
         & (F.least(room("x.size"), room("y.size")) >= need)
         & (kind("x.size") == kind("y.size")) & ((kind("x.size") == 1) == (smaller > LONG))
+        & (F.bit_count(F.col("x.odd").bitwiseXOR(F.col("y.odd"))) <= nx + ny - 2 * need)
         & (_cell_gap(F.col("x.cells"), F.col("y.cells")) <= nx + ny - 2 * need),
     ).select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).distinct()
     candidates = materialise(candidates, "candidates")
