@@ -188,21 +188,22 @@ class EndModel:
 
     def _count(self, tokens: list[str], ends: Counter, total: Counter) -> None:
         fine, coarse = self._classes(tokens)
-        n = len(tokens)
+        places, closing = [], []
         for i, w in enumerate(tokens):
             if w in TERMINATORS or w == "\n":
                 continue
-            if i + 1 == n:
+            if i + 1 == len(tokens):
                 # an unmarked last word that no other text knows may be a piece of one
                 if fine[i] == "N":
                     continue
-                end = 1
-            else:
-                end = int(tokens[i + 1] in TERMINATORS or tokens[i + 1] == "\n")
-            for key in self._grams(fine, coarse, i, self.ORDERS + self.SHORTER):
-                total[key] += 1
-                if end:
-                    ends[key] += 1
+                closing.append(i)
+            elif tokens[i + 1] in TERMINATORS or tokens[i + 1] == "\n":
+                closing.append(i)
+            places.append(i)
+        for grain, n in self.ORDERS + self.SHORTER:
+            words = fine if grain == "f" else coarse
+            total.update([grain + " ".join(words[max(0, i + 1 - n):i + 1]) for i in places])
+            ends.update([grain + " ".join(words[max(0, i + 1 - n):i + 1]) for i in closing])
 
     def _evidence(self, text: str) -> tuple[bool, list[tuple[int, int]]]:
         """(whether the last word is a piece of one, counts of the contexts before the end)."""
