@@ -34,3 +34,14 @@ def test_defects(spark):
                          (906, "a-1", "Which port?", "I must decline.", "[]")]
     got = {tuple(r) for r in pairs.defects(log(spark, rows), labelled).collect()}
     assert got == {(900, "empty"), (901, "truncated"), (902, "empty"), (903, "copy"), (904, "other_language"), (906, "refusal")}
+
+
+def test_ends_are_counted_over_all_rows(spark):
+    # six of 20,000 rows show that a sentence ends there; those that go on after its last word are many
+    many = spark.range(20_000).selectExpr(
+        "id", "concat('cli-', id) AS session_id", "'' AS user_query", "'[]' AS knowledge_used",
+        "CASE WHEN id % 4000 < 2 AND id < 12000 THEN 'Every journal of the port reads report.'"
+        " ELSE concat('The report of Node', id, ' listens on port ', id, ' and reads every journal of the team.') END AS model_response",
+    )
+    odd = log(spark, [(900_000, "cli-1", "", "Every journal of the port reads report", "[]"), (900_001, "cli-1", "", "The report of Node7 listens on port 7 and reads", "[]")])
+    assert {tuple(r) for r in truncation.broken_values(many.unionByName(odd.select(*many.columns))).collect()} == {(900_001, "model_response")}

@@ -1,7 +1,7 @@
 """Whether a text is finished: a stack automaton for structure, an end-of-text n-gram model
 for prose.
 
-The model is fitted on a bounded sample of rows (``SAMPLE``).  It reads tokens as classes
+The model is fitted on all rows.  It reads tokens as classes
 (numbers, dates, versions, dotted identifiers, rare words) at two grains and counts, for
 every n-gram, how often a sentence ends after it and how often it goes on.  A text that
 stops where sentences go on was cut.  Texts that end with a terminator, and perhaps an
@@ -17,7 +17,6 @@ from collections import Counter
 import numpy as np
 import xxhash
 
-SAMPLE = 8_000
 #: How sure the model has to be at most that a value without a terminator is finished.
 SURE = 0.8
 _CJK = "一-鿿"
@@ -123,90 +122,95 @@ def open_json(text: str) -> bool:
     return quoted or bool(depth)
 
 
-class EndModel:
-    """n-gram counts of sentence ends, fitted on ``texts``."""
+class Words:
+    """The word list of a collection of texts, and the n-grams of word classes before a place in a text.
+
+    ``words`` of ``n_texts`` texts come most frequent first.  An n-gram is known by a polynomial of the hashes of its
+    classes, so those of all places of many texts are a few array operations."""
 
     ORDERS = (("c", 7), ("f", 5), ("c", 5), ("f", 3))
     #: Shorter contexts, asked where none of the others was seen.
     SHORTER = (("c", 3), ("f", 1))
 
-    def __init__(self, texts: list[str], vocabulary: int = 6_000, function_words: int = 70):
-        seen: Counter = Counter()
-        docs = []
-        for t in texts:
-            tokens = _TOKEN.findall(t)
-            docs.append(tokens)
-            # an unmarked last token may be a piece of a word
-            seen.update({w.lower() for w in (tokens if t[-1:] in TERMINATORS else tokens[:-1])})
-        least = max(3, len(texts) // 2_000)
-        words = [w for w, n in seen.most_common(vocabulary) if n >= least]
+    def __init__(self, words: list[str], n_texts: int, function_words: int = 70):
+        #: Times from which on a context counts no more than others, in proportion to the texts: with many
+        #: texts rare contexts would else count as much as frequent ones.
+        self.enough = max(40, n_texts // 400)
         self.known = frozenset(words)
         # short frequent words stand for themselves at the coarse grain: mostly articles,
         # prepositions and pronouns in any of the languages
         self.common = frozenset([w for w in words if len(w) <= 4][:function_words])
-        ends: Counter = Counter()
-        total: Counter = Counter()
-        for tokens in docs:
-            self._count(["\n", *tokens], ends, total)
-        # contexts seen a few times say nothing; arrays travel to the workers faster than dicts
-        kept = [k for k, n in total.items() if n > 3]
-        self._keys = np.array([xxhash.xxh64_intdigest(k) for k in kept], np.uint64)
-        self._numbers = np.array([(total[k], ends[k]) for k in kept], np.int32).reshape(-1, 2)
-        self._table: dict | None = None
+        self._codes: dict[str, tuple[int, int]] = {}
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"_table": None}
-
-    def _lookup(self, key: str) -> tuple[int, int] | None:
-        """(times seen, times a sentence ended after it)."""
-        if self._table is None:
-            self._table = dict(zip(self._keys.tolist(), map(tuple, self._numbers.tolist())))
-        return self._table.get(xxhash.xxh64_intdigest(key))
-
-    def _classes(self, tokens: list[str]) -> tuple[list[str], list[str]]:
-        fine, coarse = [], []
-        for w in tokens:
-            low = w.lower()
-            if w[0].isdigit():
-                k = "D" if len(w) == 10 and w[4] == "-" else "V" if "." in w else "9"
-                fine.append(k)
-                coarse.append(k)
-            elif len(w) > 2 and ("." in w or "_" in w):
-                fine.append("I")
-                coarse.append("I")
-            elif low in self.known:
-                fine.append(low)
-                coarse.append(low if low in self.common or not w.isalpha() or "一" <= w <= "鿿" else "w")
-            else:
-                fine.append("N")
-                coarse.append("N")
-        return fine, coarse
+        return self.__dict__ | {"_codes": {}}
 
     @staticmethod
-    def _grams(fine: list[str], coarse: list[str], i: int, orders: tuple) -> list[str]:
-        return [g + " ".join((fine if g == "f" else coarse)[max(0, i + 1 - n):i + 1]) for g, n in orders]
-
-    def _count(self, tokens: list[str], ends: Counter, total: Counter) -> None:
-        fine, coarse = self._classes(tokens)
-        places, closing = [], []
-        for i, w in enumerate(tokens):
-            if w in TERMINATORS or w == "\n":
-                continue
-            if i + 1 == len(tokens):
-                # an unmarked last word that no other text knows may be a piece of one
-                if fine[i] == "N":
-                    continue
-                closing.append(i)
-            elif tokens[i + 1] in TERMINATORS or tokens[i + 1] == "\n":
-                closing.append(i)
-            places.append(i)
-        for grain, n in self.ORDERS + self.SHORTER:
-            words = fine if grain == "f" else coarse
-            total.update([grain + " ".join(words[max(0, i + 1 - n):i + 1]) for i in places])
-            ends.update([grain + " ".join(words[max(0, i + 1 - n):i + 1]) for i in closing])
+    def counts(texts: list[str]) -> Counter:
+        """In how many texts each word stands."""
+        seen: Counter = Counter()
+        for t in texts:
+            tokens = _TOKEN.findall(t)
+            # an unmarked last token may be a piece of a word
+            seen.update({w.lower() for w in (tokens if t[-1:] in TERMINATORS else tokens[:-1])})
+        return seen
+
+    @staticmethod
+    def least(n_texts: int) -> int:
+        """Texts in which a word has to stand to count as itself."""
+        return max(3, n_texts // 2_000)
 
-    def _evidence(self, text: str) -> tuple[bool, list[tuple[int, int]]]:
-        """(whether the last word is a piece of one, counts of the contexts before the end)."""
+    def _class(self, w: str) -> tuple[str, str]:
+        low = w.lower()
+        if w[0].isdigit():
+            k = "D" if len(w) == 10 and w[4] == "-" else "V" if "." in w else "9"
+            return k, k
+        if len(w) > 2 and ("." in w or "_" in w):
+            return "I", "I"
+        if low in self.known:
+            return low, low if low in self.common or not w.isalpha() or "一" <= w <= "鿿" else "w"
+        return "N", "N"
+
+    def _code(self, w: str) -> tuple[int, int]:
+        """Hashes of the fine and the coarse class of a token."""
+        code = self._codes.get(w)
+        if code is None:
+            if len(self._codes) > 200_000:
+                self._codes.clear()
+            fine, coarse = self._class(w)
+            code = self._codes[w] = (xxhash.xxh64_intdigest(fine), xxhash.xxh64_intdigest(coarse))
+        return code
+
+    def grams(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(n-grams of ``texts``, how often each stands there, how often a sentence ends after it)."""
+        docs = [["\n", *_TOKEN.findall(t)] for t in texts]
+        tokens = [w for d in docs for w in d]
+        if not tokens:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        codes = np.array([self._code(w) for w in tokens], np.uint64)
+        sizes = np.array([len(d) for d in docs])
+        at = np.arange(len(tokens)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        stop = np.array([w in TERMINATORS or w == "\n" for w in tokens])
+        last = at + 1 == np.repeat(sizes, sizes)
+        # an unmarked last word that no other text knows may be a piece of one
+        place = ~stop & ~(last & (codes[:, 0] == _RARE))
+        ending = (last | np.r_[stop[1:], True])[place]
+        keys = []
+        for grain, longest in (("c", 7), ("f", 5)):
+            code, total, factor = codes[:, int(grain == "c")], np.zeros(len(tokens), np.uint64), 1
+            for n in range(1, longest + 1):
+                # the n-th token from the end, where the text has one
+                back = np.where(at >= n - 1, np.r_[np.zeros(n - 1, np.uint64), code[:len(code) - n + 1]], np.uint64(0))
+                total = total + back * np.uint64(factor)
+                factor = factor * _FACTOR & _MASK
+                if (grain, n) in self.ORDERS + self.SHORTER:
+                    keys.append((total + np.uint64(_SEED[grain, n]))[place])
+        found, which = np.unique(np.concatenate(keys), return_inverse=True)
+        ends = np.bincount(which, np.tile(ending, len(keys)), len(found)).astype(np.int64)
+        return found.view(np.int64), np.bincount(which, minlength=len(found)), ends
+
+    def contexts(self, text: str) -> tuple[bool, list[int]]:
+        """(whether the last word is a piece of one, n-grams before the end, of ORDERS and SHORTER)."""
         tail, tokens, most = 0, [], self.ORDERS[0][1]
         # a stretch from the end that holds the longest context, and one token that its start may cut
         while tail < len(text) and len(tokens) <= most:
@@ -218,22 +222,43 @@ class EndModel:
             return False, []
         if tail == len(text):
             tokens.insert(0, "\n")
-        fine, coarse = self._classes(tokens)
-        if fine[-1] == "N" and tokens[-1][0].islower():
+        codes = [self._code(w) for w in tokens[:-most - 1:-1]]
+        if codes[0][0] == _RARE and tokens[-1][0].islower():
             return True, []
-        for orders in (self.ORDERS, self.SHORTER):
-            found = [x for key in self._grams(fine, coarse, len(tokens) - 1, orders) if (x := self._lookup(key))]
-            if found:
-                return False, found
-        return False, []
+        keys = []
+        for grain, n in self.ORDERS + self.SHORTER:
+            total, factor = _SEED[grain, n], 1
+            for code in codes[:n]:
+                total, factor = total + code[grain == "c"] * factor, factor * _FACTOR & _MASK
+            total &= _MASK
+            keys.append(total - (total >> 63 << 64))
+        return False, keys
+
+
+_MASK, _FACTOR = (1 << 64) - 1, 0x9E3779B97F4A7C15
+_RARE = xxhash.xxh64_intdigest("N")
+_SEED = {(g, n): xxhash.xxh64_intdigest(f"{g}{n}") for g, n in Words.ORDERS + Words.SHORTER}
+#: Contexts seen so often or less say nothing.
+RARE = 3
 
-    def finished(self, text: str) -> float | None:
-        """Probability that a sentence ends where ``text`` does; None without evidence."""
-        piece, found = self._evidence(text)
-        if piece:
-            return 0.0
-        weight = sum(min(n, 40) for n, _ in found)
-        return sum(min(n, 40) * (e + 0.5) / (n + 1) for n, e in found) / weight if weight else None
+
+class EndModel:
+    """Word list and n-gram counts of sentence ends of ``texts``, where these fit in memory;
+    ``truncation`` counts the same over a table."""
+
+    def __init__(self, texts: list[str], vocabulary: int = 6_000, function_words: int = 70):
+        least = Words.least(len(texts))
+        seen = [(w, n) for w, n in Words.counts(texts).items() if n >= least]
+        self.words = Words([w for w, _ in sorted(seen, key=lambda x: (-x[1], x[0]))[:vocabulary]], len(texts), function_words)
+        self.seen = {k: (n, e) for k, n, e in zip(*(x.tolist() for x in self.words.grams(texts))) if n > RARE}
+
+    def finished(self, keys: list[int]) -> float | None:
+        """Probability that a sentence ends after contexts; None without evidence."""
+        numbers = [self.seen.get(k) for k in keys]
+        longer = len(Words.ORDERS)
+        found = [x for x in numbers[:longer] if x] or [x for x in numbers[longer:] if x]
+        weight = sum(min(n, self.words.enough) for n, _ in found)
+        return sum(min(n, self.words.enough) * (e + 0.5) / (n + 1) for n, e in found) / weight if weight else None
 
 
 def _body_end(text: str) -> int:
@@ -254,8 +279,14 @@ def marked(text: str) -> bool:
     return bool(_MARKED.search(bare) or _MARKED.search(_ORNAMENT.sub("", bare)))
 
 
-def broken_text(text: str | None, model: EndModel, baseline: float = 1.0) -> bool:
-    """Whether prose stops before its word, sentence, listing or structure is finished.
+def limit(baseline: float) -> float:
+    """How sure the model has to be that a value is finished: between an even chance and SURE."""
+    return min(max(baseline, 0.5), SURE)
+
+
+def verdict(text: str | None, words: Words, baseline: float = 1.0) -> bool | list[int]:
+    """Whether prose stops before its word, sentence, listing or structure is finished; where its
+    structure does not tell, the contexts of which the counts decide.
 
     ``baseline`` is the share of the values of the same source and field that end with a terminator:
     the more of them do, the surer the model has to be that a value without one is finished."""
@@ -280,13 +311,14 @@ def broken_text(text: str | None, model: EndModel, baseline: float = 1.0) -> boo
         return False
     if body.rstrip()[-1:] in ",;:，、；：（([{=":
         return True
-    p = model.finished(body.rstrip(CLOSERS + " "))
-    # between an even chance and SURE; without any evidence the baseline decides alone
-    return baseline >= SURE if p is None else p < min(max(baseline, 0.5), SURE)
+    piece, keys = words.contexts(body.rstrip(CLOSERS + " "))
+    # without any evidence the baseline decides alone
+    return keys or piece or baseline >= SURE
 
 
-def broken_json(text: str | None, model: EndModel, baseline: float = 1.0) -> bool:
-    """Whether a JSON text, or the ``content`` of an element of it, stops before its end."""
+def verdicts(text: str | None, words: Words, baseline: float = 1.0) -> bool | list[list[int]]:
+    """Whether a JSON text, or the ``content`` of an element of it, stops before its end; where their
+    structure does not tell, the contexts of each content of which the counts decide."""
     if not text or not text.strip():
         return False
     try:
@@ -294,7 +326,29 @@ def broken_json(text: str | None, model: EndModel, baseline: float = 1.0) -> boo
     except ValueError:
         bare = BREAK_MARKS.sub("", text)
         return open_json(bare) or (not bare.rstrip().endswith(("]", "}", '"')) and not bare.strip()[-1:].isalnum())
+    asked = []
     for item in value if isinstance(value, list) else [value]:
-        if isinstance(item, dict) and isinstance(item.get("content"), str) and broken_text(item["content"], model, baseline):
-            return True
-    return False
+        if isinstance(item, dict) and isinstance(item.get("content"), str):
+            found = verdict(item["content"], words, baseline)
+            if found is True:
+                return True
+            if found:
+                asked.append(found)
+    return asked or False
+
+
+def _decided(keys: list[int], model: EndModel, baseline: float) -> bool:
+    p = model.finished(keys)
+    return baseline >= SURE if p is None else p < limit(baseline)
+
+
+def broken_text(text: str | None, model: EndModel, baseline: float = 1.0) -> bool:
+    """``verdict`` with the counts of ``model``."""
+    found = verdict(text, model.words, baseline)
+    return found if isinstance(found, bool) else _decided(found, model, baseline)
+
+
+def broken_json(text: str | None, model: EndModel, baseline: float = 1.0) -> bool:
+    """``verdicts`` with the counts of ``model``."""
+    found = verdicts(text, model.words, baseline)
+    return found if isinstance(found, bool) else any(_decided(keys, model, baseline) for keys in found)

@@ -26,9 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.endings import broken_text, is_empty
+from tidemark.llm.endings import is_empty, verdict
 from tidemark.llm.refusals import Refusals
-from tidemark.llm.truncation import end_model, sample_rows, with_baselines
+from tidemark.llm.truncation import decided, with_baselines, word_list
+from tidemark.session import bounded_sample
 
 PER_LANGUAGE, BUCKETS = 400, 1 << 16
 #: Languages and characters of a text that the model takes, most frequent languages first; the
@@ -133,38 +134,43 @@ def differ(q: np.ndarray, r: np.ndarray, nq: np.ndarray, nr: np.ndarray) -> np.n
 def defects(log: DataFrame, labelled: DataFrame) -> DataFrame:
     """(interaction_id, defect) of every defective pair of ``log``; ``labelled`` has texts
     with a language label."""
-    rows = sample_rows(log)
-    ends, languages = end_model(rows), language_model(labelled)
-    refusals = Refusals([r.model_response for r in rows if not is_empty(r.model_response)][:ANSWERS])
-    schema = pa.schema([("interaction_id", pa.int64()), ("defect", pa.string())])
-
-    def kind(question: str | None, answer: str | None, base: float) -> str | None:
+    words, languages = word_list(log), language_model(labelled)
+    sample = bounded_sample(log.select("id", "user_query", "model_response"), "id", 8_000, 5).collect()
+    refusals = Refusals([r.model_response for r in sample if not is_empty(r.model_response)][:ANSWERS])
+    schema = pa.schema([
+        ("interaction_id", pa.int64()), ("defect", pa.string()), ("base", pa.float64()), ("broken", pa.bool_()), ("asked", pa.list_(pa.int64()))
+    ])
+
+    def kind(question: str | None, answer: str | None) -> str | None:
         if is_empty(answer):
             return "empty"
         if is_copy(question, answer):
             return "copy"
         if refusals.is_refusal(answer):
             return "refusal"
-        if broken_text(answer, ends, base):
-            return "truncated"
         return None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, asked, said = (batch[c].to_pylist() for c in ("id", "user_query", "model_response"))
-            base = batch["base_model_response"].to_pylist()
-            kinds = [kind(q, r, b) for q, r, b in zip(asked, said, base)]
-            open_ = [i for i, k in enumerate(kinds) if k is None and asked[i]]
+            bases = batch["base_model_response"].to_pylist()
+            kinds = [kind(q, r) for q, r in zip(asked, said)]
+            ends = [verdict(r, words, b) if k is None else False for k, r, b in zip(kinds, said, bases)]
+            open_ = [i for i, k in enumerate(kinds) if k is None and ends[i] is not True and asked[i]]
             if open_:
                 sq, nq = languages.scores([asked[i] for i in open_])
                 sr, nr = languages.scores([said[i] for i in open_])
                 for j in np.nonzero(differ(sq, sr, nq, nr))[0]:
                     if not LANGUAGE_NAMES.search(asked[open_[j]]):
                         kinds[open_[j]] = "other_language"
-            found = [(i, k) for i, k in zip(ids, kinds) if k]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([i for i, _ in found], pa.int64()), pa.array([k for _, k in found], pa.string())], schema=schema
-            )
+            # a kind of an answer whose end the counts decide holds if it is finished
+            found = [
+                (i, k, b, e if isinstance(e, bool) else None, None if isinstance(e, bool) else e)
+                for i, k, b, e in zip(ids, kinds, bases, ends) if k or e
+            ]
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*found) if found else [[]] * 5, schema)], schema=schema)
 
     rows = with_baselines(log, ["user_query", "model_response"])
-    return rows.mapInArrow(run, "interaction_id long, defect string").distinct()
+    rows = rows.mapInArrow(run, "interaction_id long, defect string, base double, broken boolean, asked array<long>")
+    defect = F.when(F.col("broken"), "truncated").otherwise(F.col("defect"))
+    return decided(rows, log, words).select("interaction_id", defect.alias("defect")).filter("defect IS NOT NULL").distinct()
