@@ -51,3 +51,12 @@ def test_documents(spark):
     got = {r.doc_id: r.restored_md5 for r in garbled.garbled_documents(spark.createDataFrame(rows, "doc_id long, text string, restored_text string")).collect()}
     assert got == {900: garbled.md5_of(SOUND[0]), 903: garbled.md5_of("a" * 200_000 + SOUND[0])}
     assert garbled.garbled_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_emissions_of_all_documents(spark):
+    # Greek stands in five of 12,000 documents, none of them in the 4,000 once sampled
+    last = {821, 9530, 4863, 8610, 8919}
+    greek = "Η ομάδα διαβάζει την αναφορά κάθε Δευτέρα και κρατά ένα αντίγραφο για τον χρήστη."
+    rows = [(i, greek if i in last else SOUND[i % 6]) for i in range(12_000)] + [(20_000, garbled.garble(greek[2:40], "utf-8", "cp1251"))]
+    got = {r.doc_id: r.restored_md5 for r in garbled.garbled_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {20_000: garbled.md5_of(greek[2:40])}

@@ -2,9 +2,8 @@
 
 States are ``clean`` and one per encoding pair (written in X, read as Y).  Only characters
 outside ASCII are observations, since all pairs leave ASCII alone.  Emissions are counted
-on a bounded sample (``SAMPLE`` documents): as it stands for ``clean``, and garbled by each
-pair for that pair's state; documents that a first pass labels are then left out of the
-clean counts.  Viterbi labels the characters, and once more with the wrong decoding that labels
+on all documents: as they stand for ``clean``, and garbled by each pair for that pair's state;
+documents that a first pass over all of them labels are then left out of the counts.  Viterbi labels the characters, and once more with the wrong decoding that labels
 most of the document, which makes a change to it at the start of a run cheaper.  Each labelled
 span gets the inverse transform of its state, its ends moved by up to three characters where they
 cut a character's bytes; it counts only if the inverse exists and reads better under the clean
@@ -34,10 +33,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.session import bounded_sample
-
-#: Documents of the emission sample.
-SAMPLE = 4_000
 LOST = "�"
 # Encoding pairs, written in the first and read as the second.
 PAIRS = [
@@ -92,48 +87,70 @@ def invert(span: str, written: str, read: str) -> str | None:
         return None
 
 
+#: Pairs whose characters depend on those before: they are counted on the garbled texts, the characters
+#: of the others come from the counts of the clean ones.
+_BOUND = [i for i, (_, read) in enumerate(PAIRS, 1) if read not in _TABLES]
+
+
+def emissions(texts: list[str]) -> dict[int, Counter]:
+    """Characters outside ASCII by state: as they stand, and garbled by the pairs of ``_BOUND``."""
+    odd = [t for t in texts if not t.isascii()]
+    out = {0: _characters(odd)}
+    return out | {i: _characters([garble(t, *PAIRS[i - 1]) for t in odd]) for i in _BOUND}
+
+
+def _characters(texts: list[str]) -> Counter:
+    code = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    kinds, many = np.unique(code[code > 127], return_counts=True)
+    return Counter(dict(zip(map(chr, kinds.tolist()), many.tolist())))
+
+
 class Model:
     """Emission tables, the screen and the Viterbi labelling."""
 
     def __init__(self, texts: list[str]):
-        clean = self._counts(texts)
-        self._fit(texts, clean)
-        # second estimate of clean without the documents that the first one labels
-        odd = [i for i, t in enumerate(texts) if self.suspect(t)]
-        bad = {i for i, out in zip(odd, self.restore_all([texts[i] for i in odd])) if out is not None}
-        sound = [t for i, t in enumerate(texts) if i not in bad]
-        if sound and len(sound) < len(texts):
-            self._fit(sound, self._counts(sound))
+        seen = emissions(texts)
+        self.fit(seen)
+        # second estimate without the documents that the first one labels
+        bad = self.labelled(texts)
+        if len(bad) < len(texts):
+            self.fit(without(seen, emissions(bad)))
+
+    @classmethod
+    def of(cls, seen: dict[int, Counter]) -> Model:
+        model = cls.__new__(cls)
+        model.fit(seen)
+        return model
+
+    def labelled(self, texts: list[str]) -> list[str]:
+        """The garbled ones of ``texts``."""
+        odd = [t for t in texts if self.suspect(t)]
+        return [t for t, out in zip(odd, self.restore_all(odd)) if out is not None]
 
     @staticmethod
-    def _counts(texts: list[str]) -> Counter:
+    def _read(counts: Counter, written: str, read: str) -> Counter:
+        """How often each character outside ASCII comes out of characters garbled one by one."""
         out: Counter = Counter()
-        for t in texts:
-            out.update("".join(_RUN.findall(t)))
+        table = _TABLES[read][0]
+        for c, n in counts.items():
+            for b in c.encode(written, "ignore"):
+                if table[b] > "\x7f":
+                    out[table[b]] += n
         return out
 
-    @staticmethod
-    def _read(raw: bytes, read: str) -> Counter:
-        """How often each character outside ASCII comes out of ``raw``."""
-        many = np.bincount(np.frombuffer(raw, np.uint8), minlength=256)
-        return Counter({c: int(many[b]) for b, c in _TABLES[read][0].items() if many[b] and c > "\x7f"})
-
-    def _fit(self, texts: list[str], clean: Counter) -> None:
+    def fit(self, counts: dict[int, Counter]) -> None:
+        clean = Counter(counts[0])
         tables = [clean]
         # the curly quotes and the dash that word processors write are clean everywhere
         clean.update({c: 5 for c in "“”‘’–—…«»éèàçùâêîôûäöüßñáíóú¿¡。，？！：；、（）"})
-        odd = [t for t in texts if not t.isascii()]
-        # some texts are garbled twice the same way, which adds characters
-        twice = [t for t in texts[::4] if not t.isascii()]
-        for written, read in PAIRS:
-            if read in _TABLES:
-                # one character a byte, so the bytes are counted instead
-                seen = self._read("".join(odd).encode(written, "ignore"), read)
-                for c, n in self._read("".join(twice).encode(written, "ignore"), read).items():
-                    for again, m in self._read(c.encode(written, "ignore"), read).items():
-                        seen[again] += n * m
+        for i, (written, read) in enumerate(PAIRS, 1):
+            if i in _BOUND:
+                seen = Counter(counts[i])
             else:
-                seen = Counter("".join("".join(_RUN.findall(garble(t, written, read))) for t in odd))
+                seen = self._read(counts[0], written, read)
+                # some texts are garbled twice the same way, which adds characters: a quarter here
+                for c, n in self._read(seen, written, read).items():
+                    seen[c] += n / 4
             seen[LOST] += 1
             tables.append(seen)
         chars = sorted(set().union(*tables))
@@ -329,11 +346,45 @@ class Model:
         return self.restore_all([text])[0]
 
 
-def restored(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> DataFrame:
+def without(seen: dict[int, Counter], less: dict[int, Counter]) -> dict[int, Counter]:
+    return {i: counts - less[i] for i, counts in seen.items()}
+
+
+def counted(docs: DataFrame, model: Model | None = None) -> tuple[dict[int, Counter], int]:
+    """(emissions, number) of all texts of ``docs``, or of those that ``model`` labels."""
+    schema = pa.schema([("state", pa.int32()), ("code", pa.int32()), ("n", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch["text"].to_pylist()
+            texts = texts if model is None else model.labelled(texts)
+            # the number of texts goes along as a state of its own
+            rows = [(-1, 0, len(texts))] + [(i, ord(c), n) for i, counts in emissions(texts).items() for c, n in counts.items()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), schema)], schema=schema)
+
+    # as many rows as there are characters in use, for each state
+    rows = docs.select("text").mapInArrow(run, "state int, code int, n long").groupBy("state", "code").agg(F.sum("n").alias("n")).collect()
+    seen: dict[int, Counter] = {i: Counter() for i in (0, *_BOUND)}
+    for state, code, n in rows:
+        if state >= 0:
+            seen[state][chr(code)] = n
+    return seen, sum(r.n for r in rows if r.state < 0)
+
+
+def fitted(docs: DataFrame) -> Model:
+    """The model of all texts of ``docs``, its second estimate without those that the first one labels."""
+    seen, total = counted(docs)
+    first = Model.of(seen)
+    bad, n_bad = counted(docs, first)
+    return Model.of(without(seen, bad)) if 0 < n_bad < total else first
+
+
+def restored(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, restored_text): garbled documents; the text is null where it is lost."""
     slim = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).filter(F.length("text") > 0)
-    rows = bounded_sample(slim, "doc_id", sample, 11).collect()
-    model = Model([r.text for r in rows])
+    # pure ASCII texts are sound, have no emissions and stay in the JVM
+    odd = slim.filter(F.octet_length("text") > F.length("text"))
+    model = fitted(odd)
     schema = pa.schema([("doc_id", pa.int64()), ("restored_text", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -343,8 +394,6 @@ def restored(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: i
             ids, texts = [d for d, _ in found], [t for _, t in found]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.string())], schema=schema)
 
-    # pure ASCII texts are sound and stay in the JVM
-    odd = slim.filter(F.octet_length("text") > F.length("text"))
     return odd.mapInArrow(run, "doc_id long, restored_text string")
 
 
