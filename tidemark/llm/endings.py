@@ -187,27 +187,34 @@ class Words:
         tokens = [w for d in docs for w in d]
         if not tokens:
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        codes = np.array([self._code(w) for w in tokens], np.uint64)
+        # tokens are few others again and again, so each one is looked at once
+        numbers: dict[str, int] = {}
+        which = np.fromiter((numbers.setdefault(w, len(numbers)) for w in tokens), np.int64, len(tokens))
+        fine, coarse = (np.fromiter(x, np.uint64, len(numbers)) for x in zip(*map(self._code, numbers)))
         sizes = np.array([len(d) for d in docs])
         at = np.arange(len(tokens)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        stop = np.array([w in TERMINATORS or w == "\n" for w in tokens])
+        stop = np.array([w in TERMINATORS or w == "\n" for w in numbers])[which]
         last = at + 1 == np.repeat(sizes, sizes)
         # an unmarked last word that no other text knows may be a piece of one
-        place = ~stop & ~(last & (codes[:, 0] == _RARE))
+        place = ~stop & ~(last & (fine == _RARE)[which])
         ending = (last | np.r_[stop[1:], True])[place]
-        keys = []
-        for grain, longest in (("c", 7), ("f", 5)):
-            code, total, factor = codes[:, int(grain == "c")], np.zeros(len(tokens), np.uint64), 1
+        found = []
+        for code, grain, longest in ((coarse[which], "c", 7), (fine[which], "f", 5)):
+            total, factor = np.zeros(len(tokens), np.uint64), 1
             for n in range(1, longest + 1):
                 # the n-th token from the end, where the text has one
                 back = np.where(at >= n - 1, np.r_[np.zeros(n - 1, np.uint64), code[:len(code) - n + 1]], np.uint64(0))
                 total = total + back * np.uint64(factor)
                 factor = factor * _FACTOR & _MASK
                 if (grain, n) in self.ORDERS + self.SHORTER:
-                    keys.append((total + np.uint64(_SEED[grain, n]))[place])
-        found, which = np.unique(np.concatenate(keys), return_inverse=True)
-        ends = np.bincount(which, np.tile(ending, len(keys)), len(found)).astype(np.int64)
-        return found.view(np.int64), np.bincount(which, minlength=len(found)), ends
+                    # the lowest bit of a key gives way to whether a sentence ends, so one sort counts both
+                    keys = (total + np.uint64(_SEED[grain, n]))[place]
+                    keys = np.sort(keys & ~np.uint64(1) | ending)
+                    first = np.flatnonzero(np.r_[True, keys[1:] >> np.uint64(1) != keys[:-1] >> np.uint64(1)]) if len(keys) else np.zeros(0, np.int64)
+                    many = np.diff(np.r_[first, len(keys)])
+                    ends = np.add.reduceat((keys & np.uint64(1)).astype(np.int64), first) if len(keys) else many
+                    found.append(((keys[first] & ~np.uint64(1)).view(np.int64), many, ends))
+        return tuple(np.concatenate(x) for x in zip(*found))
 
     def contexts(self, text: str) -> tuple[bool, list[int]]:
         """(whether the last word is a piece of one, n-grams before the end, of ORDERS and SHORTER)."""
@@ -230,7 +237,7 @@ class Words:
             total, factor = _SEED[grain, n], 1
             for code in codes[:n]:
                 total, factor = total + code[grain == "c"] * factor, factor * _FACTOR & _MASK
-            total &= _MASK
+            total &= _MASK - 1
             keys.append(total - (total >> 63 << 64))
         return False, keys
 
