@@ -45,3 +45,22 @@ def test_ends_are_counted_over_all_rows(spark):
     )
     odd = log(spark, [(900_000, "cli-1", "", "Every journal of the port reads report", "[]"), (900_001, "cli-1", "", "The report of Node7 listens on port 7 and reads", "[]")])
     assert {tuple(r) for r in truncation.broken_values(many.unionByName(odd.select(*many.columns))).collect()} == {(900_001, "model_response")}
+
+
+def test_languages_of_all_documents(spark):
+    # the hundred most frequent languages and the first 4,000 characters are not all
+    rows = [(f"x{i}", " ".join(chr(0x1200 + 3 * i + k) * 5 for k in range(3)) * 4) for i in range(100) for _ in range(4)]
+    rows += [("de", "der Bericht des Knotens wurde vom Team geprüft und die Frist geändert")] * 3 + [("en", "." * 4_000 + " the report of the node listens on the port and reads")] * 4
+    docs = spark.createDataFrame([(i, n, t) for i, (n, t) in enumerate(rows)], "doc_id long, lang string, text string")
+    model = pairs.language_model(docs)
+    s, _ = model.scores(["der Bericht wurde vom Team geprüft", "the node reads the report"])
+    assert [model.names[i] for i in s.argmax(axis=1)] == ["de", "en"]
+
+
+def test_refusals_of_all_answers(spark):
+    # a table gives the same classifier as a list
+    from tidemark.llm.refusals import Refusals, refusals_of
+
+    answers = [f"The report of Node{i} listens on port {i}. I will not answer this, ask team {i % 7}." for i in range(3_000)] + ["N/A", "No."] * 20
+    table, whole = refusals_of(spark.createDataFrame([(a,) for a in answers], "model_response string").repartition(5)), Refusals(answers)
+    assert table.known == whole.known and abs(table.weights - whole.weights).max() < 1e-6 and (whole.weights != 0).sum() > 100

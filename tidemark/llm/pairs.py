@@ -3,8 +3,7 @@
 Kinds in the order in which they are tried, so that a pair has at most one: ``empty``,
 ``copy``, ``refusal``, ``truncated``, ``other_language``.
 
-Languages are compared by a character-trigram naive Bayes, fitted on a bounded sample of
-labelled documents (``PER_LANGUAGE`` per language, of at most ``MOST_LABELS`` languages): question
+Languages are compared by a character-trigram naive Bayes, fitted on all labelled documents: question
 and answer have a posterior over languages each, and the pair is defective if both are unlikely to
 be of one language.  Trigrams are hashed into a fixed table, and a whole Arrow batch is scored by
 array operations.  Truncation is the end-of-text n-gram model of ``endings``; copies are found on
@@ -23,19 +22,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.endings import is_empty, verdict
-from tidemark.llm.refusals import Refusals
+from tidemark.llm.refusals import refusals_of
 from tidemark.llm.truncation import decided, with_baselines, word_list
-from tidemark.session import bounded_sample
 
-PER_LANGUAGE, BUCKETS = 400, 1 << 16
-#: Languages and characters of a text that the model takes, most frequent languages first; the
-#: most probability that question and answer share a language; the least number of trigrams; and
-#: answers on which refusals are learned.
-MOST_LABELS, LABEL_CHARS, SAME, LEAST, ANSWERS = 100, 4_000, 0.005, 12, 2_000
+BUCKETS = 1 << 16
+#: What an unseen trigram counts in up to PER_SMOOTH texts of a language, and in proportion in more; the
+#: most probability that question and answer share a language; the least number of trigrams.
+SMOOTH, PER_SMOOTH, SAME, LEAST = 0.05, 400, 0.005, 12
 
 # Names of languages in questions that ask for one.
 LANGUAGE_NAMES = re.compile(
@@ -74,20 +71,35 @@ class Languages:
     """Naive Bayes over hashed character trigrams."""
 
     def __init__(self, texts: dict[str, list[str]], buckets: int = BUCKETS):
-        self.names, self.buckets = sorted(texts), buckets
-        table = np.full((len(self.names), buckets), 0.05, np.float64)
-        for row, name in enumerate(self.names):
-            keys, _ = self.grams(texts[name])
-            np.add.at(table[row], keys, 1.0)
-        self.table = np.log(table / table.sum(axis=1, keepdims=True)).astype(np.float32)
-
-    def grams(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        names = sorted(texts)
+        counts = np.zeros((len(names), buckets), np.int64)
+        for row, name in enumerate(names):
+            counts[row] = np.bincount(self.grams(texts[name], buckets)[0], minlength=buckets)
+        self._fit(names, counts, np.array([len(texts[name]) for name in names]))
+
+    @classmethod
+    def of(cls, names: list[str], counts: np.ndarray, n_texts: np.ndarray) -> Languages:
+        model = cls.__new__(cls)
+        model._fit(names, counts, n_texts)
+        return model
+
+    def _fit(self, names: list[str], counts: np.ndarray, n_texts: np.ndarray) -> None:
+        """From the trigrams of ``n_texts`` texts of each language.  Smoothing grows with the texts, so that
+        unseen trigrams speak for no language, however many texts another has."""
+        self.names, self.buckets = names, counts.shape[1]
+        self.table = np.zeros(counts.shape, np.float32)
+        for row, n in enumerate(n_texts.tolist()):
+            seen = counts[row] + SMOOTH * max(1.0, n / PER_SMOOTH)
+            self.table[row] = np.log(seen / seen.sum())
+
+    @staticmethod
+    def grams(texts: list[str], buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
         """(trigram buckets of all texts, number of trigrams before each text)."""
         joined = "\n\n\n".join(re.sub(r"[\d_]+", "0", t.lower().replace("\n", " ")) for t in texts)
         code = np.frombuffer(joined.encode("utf-32-le", "replace"), np.uint32).astype(np.int64)
         if len(code) < 3:
             return np.zeros(0, np.int64), np.zeros(len(texts) + 1, np.int64)
-        keys = (code[:-2] * 1_000_003 + code[1:-1] * 8_191 + code[2:] * 127) % self.buckets
+        keys = (code[:-2] * 1_000_003 + code[1:-1] * 8_191 + code[2:] * 127) % buckets
         breaks = code == 10
         # no trigram may touch a separator, digit or full stop run
         odd = breaks | (code < 65) & (code != 32)
@@ -98,25 +110,38 @@ class Languages:
 
     def scores(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(log likelihood per text and language, number of trigrams per text)."""
-        keys, at = self.grams(texts)
+        keys, at = self.grams(texts, self.buckets)
         sums = np.zeros((len(self.names), len(keys) + 1))
         for row in range(len(self.names)):
             np.cumsum(self.table[row][keys], out=sums[row, 1:])
         return (sums[:, at[1:]] - sums[:, at[:-1]]).T, np.diff(at)
 
 
-def language_model(labelled: DataFrame, label: str = "lang", text: str = "text", key: str = "doc_id") -> Languages:
-    rows = labelled.select(F.lower(F.trim(F.col(label))).alias("label"), F.col(text).alias("body"), key).filter(
+def language_model(labelled: DataFrame, label: str = "lang", text: str = "text") -> Languages:
+    rows = labelled.select(F.lower(F.trim(F.col(label))).alias("label"), F.col(text).alias("body")).filter(
         F.col("label").isNotNull() & (F.length("body") > 40)
     )
-    # the labels of a corpus are not bounded, so the most frequent ones are taken
-    labels = rows.groupBy("label").count().orderBy(F.col("count").desc(), "label").limit(MOST_LABELS).select("label")
-    first = Window.partitionBy("label").orderBy(F.xxhash64(F.col(key), F.lit(3)), F.col(key))
-    chosen = rows.join(F.broadcast(labels), "label").withColumn("r", F.row_number().over(first)).filter(F.col("r") <= PER_LANGUAGE)
-    texts: dict[str, list[str]] = {}
-    for r in chosen.select("label", F.substring("body", 1, LABEL_CHARS).alias("body")).collect():
-        texts.setdefault(r.label, []).append(r.body)
-    return Languages({k: v for k, v in texts.items() if len(v) >= 3} or {"und": ["und"]})
+    many = {r.label: r["count"] for r in rows.groupBy("label").count().filter("count >= 3").collect()}
+    if not many:
+        return Languages({"und": ["und"]})
+    names = sorted(many)
+    at = {name: row for row, name in enumerate(names)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts: dict[int, list[str]] = {}
+            for name, body in zip(batch["label"].to_pylist(), batch["body"].to_pylist()):
+                if name in at:
+                    texts.setdefault(at[name], []).append(body)
+            for row, own in texts.items():
+                seen = np.bincount(Languages.grams(own)[0], minlength=BUCKETS)
+                kinds = np.flatnonzero(seen)
+                yield pa.RecordBatch.from_arrays([pa.array(row * BUCKETS + kinds), pa.array(seen[kinds])], names=["cell", "n"])
+
+    sums = rows.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(len(names) * BUCKETS, np.int64)
+    counts[sums["cell"].to_numpy()] = sums["n"].to_numpy()
+    return Languages.of(names, counts.reshape(len(names), BUCKETS), np.array([many[name] for name in names]))
 
 
 def _posterior(likelihood: np.ndarray) -> np.ndarray:
@@ -135,8 +160,7 @@ def defects(log: DataFrame, labelled: DataFrame) -> DataFrame:
     """(interaction_id, defect) of every defective pair of ``log``; ``labelled`` has texts
     with a language label."""
     words, languages = word_list(log), language_model(labelled)
-    sample = bounded_sample(log.select("id", "user_query", "model_response"), "id", 8_000, 5).collect()
-    refusals = Refusals([r.model_response for r in sample if not is_empty(r.model_response)][:ANSWERS])
+    refusals = refusals_of(log)
     schema = pa.schema([
         ("interaction_id", pa.int64()), ("defect", pa.string()), ("base", pa.float64()), ("broken", pa.bool_()), ("asked", pa.list_(pa.int64()))
     ])

@@ -1,10 +1,11 @@
-"""Whether a sentence declines: naive Bayes on word n-grams, learned from a few seed sentences and a
-bounded sample of answers.
+"""Whether a sentence declines: naive Bayes on word n-grams, learned from a few seed sentences and all
+answers.
 
 Nobody labelled the answers, so the classifier labels them itself.  Seeds stand for sentences
-that decline, all sampled sentences for those that do not; sentences that the model then puts
+that decline, all sentences of answers for those that do not; sentences that the model then puts
 clearly on the side of the seeds change sides, and it is fitted again.  So it learns the wording of
-the log, and words of other sentences, however polite, speak against a refusal.
+the log, and words of other sentences, however polite, speak against a refusal.  Features are hashed
+into a fixed table, so the size of the log does not change that of the model.
 """
 
 from __future__ import annotations
@@ -12,11 +13,25 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tidemark.llm.endings import is_empty
+from tidemark.session import materialise
+
 ROUNDS, CLEAR, LEAST = 4, 3.0, 0.0
-#: Sentences in which a word has to stand to count as itself; names and other rare words are one.
+#: Sentences in which a word has to stand to count as itself, for 2,000 answers and in proportion for more;
+#: names and other rare words are one.
 COMMON = 5
+#: Bits of the number of a feature; parts of one by which weights of sentences are counted.
+BITS, PARTS = 22, 1 << 20
+_MASK, _FACTOR = (1 << 64) - 1, 0x9E3779B97F4A7C15
 #: Words of a sentence from which on its n-grams decide.
 SHORT = 3
 # Sentences that decline or apologise, by language.
@@ -62,25 +77,72 @@ def sentences(text: str) -> list[str]:
     return [s for m in _SENTENCE.finditer(text) if re.search(r"[^\W_]", s := m.group().strip())]
 
 
+def _words(sentence: str) -> list[str]:
+    return [w.lower() for w in _WORD.findall(sentence.replace("’", "'"))]
+
+
+def _split(answers: list[str | None]) -> list[list[str]]:
+    return [_words(s) for t in answers if not is_empty(t) for s in sentences(t)]
+
+
+def _seen(split: list[list[str]]) -> Counter:
+    """In how many sentences each word stands."""
+    seen: Counter = Counter()
+    for words in split:
+        seen.update(set(words))
+    return seen
+
+
+def common(n_answers: int) -> int:
+    return max(COMMON, n_answers * COMMON // 2_000)
+
+
+#: (n_yes, n_no, sentences that changed sides, features, their sums on both sides), in PARTS
+Sides = tuple[int, int, int, np.ndarray, np.ndarray, np.ndarray]
+
+
+def _sides(many: np.ndarray, sizes: np.ndarray, owner: np.ndarray, features: np.ndarray, now: np.ndarray | None, before: np.ndarray | None) -> Sides:
+    """Sums of the sentences with ``many`` copies, ``sizes`` words and ``features``, put on the sides that ``now`` tells."""
+    chosen = [
+        (sizes >= SHORT) & (np.bincount(owner, w[features], len(sizes)) >= CLEAR) if w is not None else np.zeros(len(sizes), bool)
+        for w in (now, before)
+    ]
+    # a sentence said often is one wording, and not a hundred reasons
+    weight = np.rint((1 + np.log(many)) * PARTS).astype(np.int64)
+    kinds, at = np.unique(features, return_inverse=True)
+    on = [np.zeros(len(kinds), np.int64) for _ in range(2)]
+    for side, some in zip(on, (chosen[0], ~chosen[0])):
+        np.add.at(side, at, (weight * some)[owner])
+    return int(weight[chosen[0]].sum()), int(weight[~chosen[0]].sum()), int((chosen[0] != chosen[1]).sum()), kinds, *on
+
+
 class Refusals:
-    """Log-odds of n-gram features, fitted on ``answers``."""
+    """Log-odds of n-gram features, fitted on ``answers``; ``refusals_of`` fits them on a table."""
 
     def __init__(self, answers: list[str]):
-        split = [[w.lower() for w in _WORD.findall(s.replace("’", "'"))] for t in answers for s in sentences(t)]
-        seeds = [[w.lower() for w in _WORD.findall(s)] for group in SEEDS.values() for s in group]
-        seen: Counter = Counter()
-        for words in split:
-            seen.update(set(words))
-        self.known = {w for w, n in seen.items() if n >= COMMON} | {w for words in seeds for w in words}
-        self.short = [words for words in seeds if len(words) < SHORT]
+        split = _split(answers)
+        self._begin([w for w, n in _seen(split).items() if n >= common(len(answers))])
         rows = Counter(tuple(self._masked(words)) for words in split)
-        chosen: set = set()
+        found = [self._features(words) for words in rows]
+        sizes = np.array([len(words) for words in rows], np.int64)
+        owner = np.repeat(np.arange(len(rows)), [len(f) for f in found])
+        features = np.array([f for some in found for f in some], np.int64)
+        many = np.array(list(rows.values()), np.int64)
+        self._learn(lambda now, before: _sides(many, sizes, owner, features, now, before))
+
+    def _begin(self, frequent: list[str]) -> None:
+        seeds = [_words(s) for group in SEEDS.values() for s in group]
+        self.known = {*frequent, *(w for words in seeds for w in words)}
+        self.short = [words for words in seeds if len(words) < SHORT]
+        self.seeds = [self._features(self._masked(words)) for words in seeds]
+
+    def _learn(self, sides: Callable[[np.ndarray | None, np.ndarray | None], Sides]) -> None:
+        self.weights = before = None
         for _ in range(ROUNDS):
-            self._fit([self._masked(w) for w in seeds], rows, chosen)
-            now = {r for r in rows if len(r) >= SHORT and self._odds(r) >= CLEAR}
-            if now == chosen:
+            found = sides(self.weights, before)
+            if self.weights is not None and not found[2]:
                 break
-            chosen = now
+            before, self.weights = self.weights, self._fit(*found[:2], *found[3:])
 
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k != "_cached"}
@@ -95,37 +157,32 @@ class Refusals:
         return out
 
     @staticmethod
-    def _features(words) -> set:
-        bare = [w for w in words if w not in ("X", "0")]
-        ends = ["^", *words, "$"]
-        return {*bare, *zip(ends, ends[1:]), *zip(ends, ends[1:], ends[2:])}
-
-    def _fit(self, seeds: list, rows: Counter, chosen: set) -> None:
-        yes, no = Counter(), Counter()
-        n_yes = n_no = 0
-        for words in seeds:
-            yes.update(self._features(words))
-            n_yes += 1
-        for words, n in rows.items():
-            # a sentence said often is one wording, and not a hundred reasons
-            weight = 1 + math.log(n)
-            side = yes if words in chosen else no
-            for f in self._features(words):
-                side[f] += weight
-            n_yes, n_no = (n_yes + weight, n_no) if words in chosen else (n_yes, n_no + weight)
+    def _features(words) -> set[int]:
+        """Numbers of the words, pairs and threes of a masked sentence."""
+        codes = [_code(w) for w in ("^", *words, "$")]
+        one = {c for w, c in zip(words, codes[1:]) if w not in ("X", "0")}
+        two = [(a * _FACTOR + b) & _MASK for a, b in zip(codes, codes[1:])]
+        three = {(a * _FACTOR + b + 1) & _MASK for a, b in zip(two, codes[2:])}
+        return {f >> 64 - BITS for f in one.union(two, three)}
+
+    def _fit(self, n_yes: int, n_no: int, kinds: np.ndarray, yes_of: np.ndarray, no_of: np.ndarray) -> np.ndarray:
+        yes, no = np.zeros(1 << BITS), np.zeros(1 << BITS)
+        yes[kinds], no[kinds] = yes_of / PARTS, no_of / PARTS
+        for features in self.seeds:
+            yes[list(features)] += 1
+        n_yes, n_no = n_yes / PARTS + len(self.seeds), n_no / PARTS
         # smoothing in proportion to the sides: what neither has seen says nothing.  The other side
         # counts as no smaller than the seeds, so a few answers do not outweigh them
         n_no += n_yes
         share = n_yes / (n_yes + n_no)
-        self.weights = {
-            f: math.log((yes[f] + share) / n_yes) - math.log((no[f] + 1 - share) / n_no) for f in {*yes, *no}
-        }
+        odds = np.log((yes + share) / n_yes) - np.log((no + 1 - share) / n_no)
+        return np.where(yes + no > 0, odds, 0.0).astype(np.float32)
 
     def _odds(self, words) -> float:
-        return sum(self.weights.get(f, 0.0) for f in self._features(words))
+        return float(self.weights[list(self._features(words))].sum(dtype=np.float64))
 
     def declines(self, sentence: str) -> bool:
-        words = [w.lower() for w in _WORD.findall(sentence.replace("’", "'"))]
+        words = _words(sentence)
         # too short to tell a refusal from a plain no, unless a seed says the same
         if len(words) < SHORT:
             return words in self.short
@@ -139,3 +196,57 @@ class Refusals:
         if not hasattr(self, "_cached"):
             self._cached = lru_cache(50_000)(self.declines)
         return all(self._cached(s) for s in said)
+
+
+@lru_cache(200_000)
+def _code(word: str) -> int:
+    return xxhash.xxh64_intdigest(word)
+
+
+def refusals_of(log: DataFrame, answer: str = "model_response") -> Refusals:
+    """The classifier fitted on all answers of ``log``."""
+    texts = log.select(F.col(answer).alias("answer")).filter(F.length(F.trim("answer")) > 0)
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seen = _seen(_split(batch["answer"].to_pylist()))
+            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
+
+    seen = texts.mapInArrow(words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    model = Refusals.__new__(Refusals)
+    model._begin([r.word for r in seen.filter(F.col("n") >= common(texts.count())).collect()])
+
+    def masked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = Counter(" ".join(model._masked(words)) for words in _split(batch["answer"].to_pylist()))
+            yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.string()), pa.array(list(rows.values()), pa.int64())], names=["sentence", "n"])
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [s.split() for s in batch["sentence"].to_pylist()]
+            found = [list(model._features(words)) for words in rows]
+            yield pa.RecordBatch.from_arrays(
+                [batch["n"], pa.array([len(words) for words in rows], pa.int64()), pa.array(found, pa.list_(pa.int32()))], names=["n", "size", "features"]
+            )
+
+    rows = texts.mapInArrow(masked, "sentence string, n long").groupBy("sentence").agg(F.sum("n").alias("n"))
+    rows = materialise(rows.mapInArrow(numbered, "n long, size long, features array<int>"), "wordings")
+
+    def sides(now: np.ndarray | None, before: np.ndarray | None) -> Sides:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                many, sizes = (batch[c].to_numpy(zero_copy_only=False) for c in ("n", "size"))
+                owner = np.repeat(np.arange(len(sizes)), batch["features"].value_lengths().to_numpy(zero_copy_only=False))
+                features = batch["features"].flatten().to_numpy(zero_copy_only=False)
+                n_yes, n_no, changed, kinds, yes, no = _sides(many, sizes, owner, features, now, before)
+                # totals go along as features of their own
+                columns = ([*kinds, -1, -2], [*yes, n_yes, changed], [*no, n_no, 0])
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=["feature", "yes", "no"])
+
+        sums = rows.mapInArrow(run, "feature long, yes long, no long").groupBy("feature").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no")).toArrow()
+        kinds, yes, no = (sums[c].to_numpy() for c in ("feature", "yes", "no"))
+        real = kinds >= 0
+        return int(yes[kinds == -1].sum()), int(no[kinds == -1].sum()), int(yes[kinds == -2].sum()), kinds[real], yes[real], no[real]
+
+    model._learn(sides)
+    return model
