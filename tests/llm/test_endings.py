@@ -114,3 +114,35 @@ def test_pairs_of_one_language_or_of_two():
 @pytest.mark.parametrize("text", ["a b…", "done. ", "x" * 500 + " " * 300, "…" * 400, "cut [truncated] [truncated]", "", "a.b..", "� �", "x (cut) ..."])
 def test_marks_of_breaks_are_found_from_the_end(text):
     assert text[:endings._body_end(text)] == endings.BREAK_MARKS.sub("", text)
+
+
+ODD = ["a.b_c Node7 7.1.0 2024-05-16 12345-01-01", "ab\x1c\x1f\x85\tc\n_d_ é.x É', 中.文 x中y", "٣٤ ² 𝔸😀 İ ΟΔΟΣ ’s it's l’été", "(no response)" + "!" * 40, "null" + " " * 30 + "</b>", ""]
+
+
+def test_fast_patterns_read_the_same():
+    import re
+
+    from tidemark.llm import refusals
+
+    letter = r"[^\W\d_一-鿿]"
+    token = re.compile(rf"{letter}+(?:[._]{letter}+)+|\d{{4}}-\d\d-\d\d|\d+(?:\.\d+)+|\d+|[一-鿿]|{letter}+|\n|[^\w\s]")
+    word = re.compile(r"[一-鿿]|[^\W\d_一-鿿]+(?:['’][^\W\d_]+)*|\d+")
+    for text in [*ODD, *PLAIN, *map(chr, range(0x3000))]:
+        assert endings.tokens_of(text) == token.findall(text)
+        assert refusals._words(text) == [w.lower() for w in word.findall(text.replace("’", "'"))]
+    assert [endings.is_empty(t) for t in ODD] == [False, False, False, True, True, True]
+
+
+def test_features_of_many_sentences(refusals):
+    rows = [refusals._masked(words) for words in ([], ["no"], ["sorry", "1", "xyzzy", "sorry", "1"], ["i", "must", "decline"] * 3)]
+    found, sizes = refusals._numbers(rows)
+    at = [0, *np.cumsum(sizes)]
+    assert [set(found[a:b].tolist()) for a, b in zip(at, at[1:])] == [refusals._features(words) for words in rows] and len(found) == sum(map(len, map(refusals._features, rows)))
+
+
+@pytest.mark.parametrize("a,copy", [
+    ("a b c d e f g h Who owns the plain terminal?", True), ("a b c d e f g h i Who owns the plain terminal?", False),
+    ("Who owns the plain terminal? a b c d e f g h", True), ("a b c d e f g h owns the plain terminal", True), ("a b c d e f g h owns the plain terminal x", False),
+])
+def test_copies_after_a_lead_in(a, copy):
+    assert pairs.is_copy("Who owns the plain terminal?", a) is copy

@@ -64,3 +64,10 @@ def test_refusals_of_all_answers(spark):
     answers = [f"The report of Node{i} listens on port {i}. I will not answer this, ask team {i % 7}." for i in range(3_000)] + ["N/A", "No."] * 20
     table, whole = refusals_of(spark.createDataFrame([(a,) for a in answers], "model_response string").repartition(5)), Refusals(answers)
     assert table.known == whole.known and abs(table.weights - whole.weights).max() < 1e-6 and (whole.weights != 0).sum() > 100
+
+
+def test_defects_read_only_what_they_weigh(spark):
+    # baselines of other fields decide nothing here, so their columns need not be there
+    df = log(spark, ROWS + ODD)
+    labelled = spark.createDataFrame([], "doc_id long, text string, lang string")
+    assert {tuple(r) for r in pairs.defects(df.drop("knowledge_used"), labelled).collect()} == {tuple(r) for r in pairs.defects(df, labelled).collect()}

@@ -22,14 +22,20 @@ SURE = 0.8
 _CJK = "一-鿿"
 #: Characters before the end that are looked at first.
 _TAIL = 240
-_TOKEN = re.compile(
-    rf"[^\W\d_{_CJK}]+(?:[._][^\W\d_{_CJK}]+)+|\d{{4}}-\d\d-\d\d|\d+(?:\.\d+)+|\d+|[{_CJK}]|[^\W\d_{_CJK}]+|\n|[^\w\s]"
+_LETTER = rf"[^\W\d_{_CJK}]"
+# what was matched is never given back: no shorter piece would fit better
+_TOKEN = re.compile(rf"{_LETTER}++(?:[._]{_LETTER}++)*+|\d{{4}}-\d\d-\d\d|\d++(?:\.\d++)*+|[{_CJK}]|\n|[^\w\s]")
+#: The same for texts of ASCII alone, with sets of characters in place of Unicode's classes.
+_ASCII = re.compile(
+    r"[A-Za-z]++(?:[._][A-Za-z]++)*+|[0-9]{4}-[0-9][0-9]-[0-9][0-9]|[0-9]++(?:\.[0-9]++)*+|\n|[!-/:-@\[-^`{-~\x00-\x08\x0e-\x1b\x7f]"
 )
 # What stands for no answer.
 STAND_INS = {
     "n/a", "na", "none", "null", "nil", "nan", "undefined", "empty", "no response", "no answer", "no output",
     "tbd", "todo", "keine antwort", "sin respuesta", "aucune réponse", "无", "暂无", "无回答", "没有回答",
 }
+#: A beginning that no empty answer has: more than the longest stand-in from one letter or digit to another, without tags.
+_LONG = re.compile(rf"[^\W_][^<&\u200b\u200c\u200d\u2060\ufeff]{{{max(map(len, STAND_INS))},{2 * max(map(len, STAND_INS))}}}?[^\W_]")
 # Marks that end a sentence, marks that close around one, and what people or
 # programs put after a break.
 TERMINATORS = ".!?。！？؟।"
@@ -52,9 +58,16 @@ _MARKED = re.compile(rf"(?:[{re.escape(TERMINATORS)}]|```)[{re.escape(CLOSERS)}\
 _BROKEN_ESCAPE = re.compile(r"(?:\\u[0-9a-fA-F]{0,3}|\\x[0-9a-fA-F]?|(?<!\\)\\|&(?:#\d{0,4}|#x[0-9a-f]{0,4}|[a-z]{1,6})|<[a-zA-Z/][^<>]{0,40}|%[0-9A-F]?)$")
 
 
+def tokens_of(text: str) -> list[str]:
+    return (_ASCII if text.isascii() else _TOKEN).findall(text)
+
+
 def is_empty(answer: str | None) -> bool:
     if answer is None:
         return True
+    # longer than any stand-in, with nothing in it that is taken out
+    if _LONG.match(answer):
+        return False
     bare = _TAGS.sub(" ", answer).strip()
     if not re.search(r"[^\W_]", bare):
         return True
@@ -150,7 +163,7 @@ class Words:
         """In how many texts each word stands."""
         seen: Counter = Counter()
         for t in texts:
-            tokens = _TOKEN.findall(t)
+            tokens = tokens_of(t)
             # an unmarked last token may be a piece of a word
             seen.update({w.lower() for w in (tokens if t[-1:] in TERMINATORS else tokens[:-1])})
         return seen
@@ -183,7 +196,7 @@ class Words:
 
     def grams(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(n-grams of ``texts``, how often each stands there, how often a sentence ends after it)."""
-        docs = [["\n", *_TOKEN.findall(t)] for t in texts]
+        docs = [["\n", *tokens_of(t)] for t in texts]
         tokens = [w for d in docs for w in d]
         if not tokens:
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -222,7 +235,7 @@ class Words:
         # a stretch from the end that holds the longest context, and one token that its start may cut
         while tail < len(text) and len(tokens) <= most:
             tail = min(len(text), 2 * tail or _TAIL)
-            tokens = _TOKEN.findall(text[len(text) - tail:])
+            tokens = tokens_of(text[len(text) - tail:])
             while tokens and tokens[-1] == "\n":
                 tokens.pop()
         if not tokens:

@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -46,8 +47,14 @@ def is_copy(question: str | None, answer: str, lead_in: int = 8) -> bool:
     """Whether the answer is the question's own words, from its start or after a lead-in of
     at most ``lead_in`` words, once or repeated."""
     asked = [w.lower() for w in _WORDS.findall(question or "")]
+    if len(asked) < 3:
+        return False
+    # a copy begins after the lead-in at the latest, or all words after that are the question's
+    first = [m.group().lower() for m in islice(_WORDS.finditer(answer), lead_in + 4)]
+    if len(first) > lead_in and asked[0] not in first[:lead_in + 1] and not set(asked).issuperset(first[lead_in:]):
+        return False
     said = [w.lower() for w in _WORDS.findall(answer)]
-    if len(asked) < 3 or len(said) < 3:
+    if len(said) < 3:
         return False
     whole = "\x01" + "\x01".join(asked) + "\x01"
     text = "\x01" + "\x01".join(said) + "\x01"
@@ -194,7 +201,7 @@ def defects(log: DataFrame, labelled: DataFrame) -> DataFrame:
             ]
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*found) if found else [[]] * 5, schema)], schema=schema)
 
-    rows = with_baselines(log, ["user_query", "model_response"])
+    rows = with_baselines(log, ["user_query", "model_response"], ["model_response"])
     rows = rows.mapInArrow(run, "interaction_id long, defect string, base double, broken boolean, asked array<long>")
     defect = F.when(F.col("broken"), "truncated").otherwise(F.col("defect"))
     return decided(rows, log, words).select("interaction_id", defect.alias("defect")).filter("defect IS NOT NULL").distinct()

@@ -32,6 +32,8 @@ COMMON = 5
 #: Bits of the number of a feature; parts of one by which weights of sentences are counted.
 BITS, PARTS = 22, 1 << 20
 _MASK, _FACTOR = (1 << 64) - 1, 0x9E3779B97F4A7C15
+#: What stands for no word: the ends of a sentence, rare words and numbers.
+_NO_WORDS = frozenset("^$X0")
 #: Words of a sentence from which on its n-grams decide.
 SHORT = 3
 # Sentences that decline or apologise, by language.
@@ -69,20 +71,28 @@ SEEDS = {
     ],
 }
 _SENTENCE = re.compile(r"[^.!?。！？\n]+[.!?。！？]*")
-_WORD = re.compile(r"[一-鿿]|[^\W\d_一-鿿]+(?:['’][^\W\d_]+)*|\d+")
+_BETWEEN = re.compile(r"[.!?。！？\n]+")
+_WORD = re.compile(r"[一-鿿]|[^\W\d_一-鿿]++(?:'[^\W\d_]++)*+|\d++")
+#: The same for lower-case texts of ASCII alone.
+_ASCII = re.compile(r"[a-z]++(?:'[a-z]++)*+|[0-9]++")
+_SAID = re.compile(r"[^\W_]")
 
 
-def sentences(text: str) -> list[str]:
+def sentences(text: str) -> Iterator[str]:
     """Sentences of ``text`` that hold a letter or digit."""
-    return [s for m in _SENTENCE.finditer(text) if re.search(r"[^\W_]", s := m.group().strip())]
+    return (s for m in _SENTENCE.finditer(text) if _SAID.search(s := m.group().strip()))
 
 
 def _words(sentence: str) -> list[str]:
+    if sentence.isascii():
+        return _ASCII.findall(sentence.lower())
+    # single words are lowered, as the form of some letters depends on their neighbours
     return [w.lower() for w in _WORD.findall(sentence.replace("’", "'"))]
 
 
 def _split(answers: list[str | None]) -> list[list[str]]:
-    return [_words(s) for t in answers if not is_empty(t) for s in sentences(t)]
+    """Words of all sentences that have any."""
+    return [words for t in answers if not is_empty(t) for s in _BETWEEN.split(t) if (words := _words(s))]
 
 
 def _seen(split: list[list[str]]) -> Counter:
@@ -165,6 +175,22 @@ class Refusals:
         three = {(a * _FACTOR + b + 1) & _MASK for a, b in zip(two, codes[2:])}
         return {f >> 64 - BITS for f in one.union(two, three)}
 
+    @staticmethod
+    def _numbers(rows: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """(features of all ``rows``, how many each has): those of ``_features``, by array operations."""
+        tokens = [w for words in rows for w in ("^", *words, "$")]
+        codes = np.fromiter(map(_code, tokens), np.uint64, len(tokens))
+        owner = np.repeat(np.arange(len(rows)), [len(words) + 2 for words in rows])
+        real = np.array([w not in _NO_WORDS for w in tokens], bool)
+        two = codes[:-1] * np.uint64(_FACTOR) + codes[1:]
+        three = two[:-1] * np.uint64(_FACTOR) + codes[2:] + np.uint64(1)
+        in_two, in_three = owner[:-1] == owner[1:], owner[:-2] == owner[2:]
+        found = np.concatenate([codes[real], two[in_two], three[in_three]]) >> np.uint64(64 - BITS)
+        owners = np.concatenate([owner[real], owner[:-1][in_two], owner[:-2][in_three]])
+        keys = np.sort(owners << BITS | found.astype(np.int64))
+        keys = keys[np.r_[True, keys[1:] != keys[:-1]]] if len(keys) else keys
+        return keys & (1 << BITS) - 1, np.bincount(keys >> BITS, minlength=len(rows))
+
     def _fit(self, n_yes: int, n_no: int, kinds: np.ndarray, yes_of: np.ndarray, no_of: np.ndarray) -> np.ndarray:
         yes, no = np.zeros(1 << BITS), np.zeros(1 << BITS)
         yes[kinds], no[kinds] = yes_of / PARTS, no_of / PARTS
@@ -190,12 +216,13 @@ class Refusals:
 
     def is_refusal(self, answer: str) -> bool:
         """Whether every sentence declines or apologises: one of substance makes an answer of it."""
-        said = sentences(answer)
-        if not said:
-            return False
         if not hasattr(self, "_cached"):
             self._cached = lru_cache(50_000)(self.declines)
-        return all(self._cached(s) for s in said)
+        said = False
+        for said in sentences(answer):
+            if not self._cached(said):
+                return False
+        return bool(said)
 
 
 @lru_cache(200_000)
@@ -224,10 +251,9 @@ def refusals_of(log: DataFrame, answer: str = "model_response") -> Refusals:
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [s.split() for s in batch["sentence"].to_pylist()]
-            found = [list(model._features(words)) for words in rows]
-            yield pa.RecordBatch.from_arrays(
-                [batch["n"], pa.array([len(words) for words in rows], pa.int64()), pa.array(found, pa.list_(pa.int32()))], names=["n", "size", "features"]
-            )
+            found, sizes = Refusals._numbers(rows)
+            lists = pa.ListArray.from_arrays(np.r_[0, np.cumsum(sizes)].astype(np.int32), pa.array(found, pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch["n"], pa.array([len(words) for words in rows], pa.int64()), lists], names=["n", "size", "features"])
 
     rows = texts.mapInArrow(masked, "sentence string, n long").groupBy("sentence").agg(F.sum("n").alias("n"))
     rows = materialise(rows.mapInArrow(numbered, "n long, size long, features array<int>"), "wordings")

@@ -90,27 +90,29 @@ def decided(rows: DataFrame, log: DataFrame, words: Words) -> DataFrame:
     return rows.filter(F.col("broken").isNotNull()).select(*names, "broken").union(met.select(*names, broken.alias("broken")))
 
 
-def baselines(log: DataFrame) -> DataFrame:
-    """Per source: share of non-empty values of each field that end with a terminator; of JSON texts
+def baselines(log: DataFrame, columns: list[str]) -> DataFrame:
+    """Per source: share of non-empty values of each of ``columns`` that end with a terminator; of JSON texts
     those of the contents of their elements."""
+    prose, json = ([c for c in some if c in columns] for some in (PROSE, JSON))
     share = lambda c: F.avg(F.when(F.length(F.trim(c)) > 0, F.col(c).rlike(_MARK).cast("double")))
     # contents stand between their name and the next name or the end of their object
-    texts = {c: F.regexp_extract_all(c, F.lit(_CONTENT), F.lit(1)) for c in JSON}
-    sums = [F.sum(F.size(texts[c])).alias(f"n_{c}") for c in JSON] + [
-        F.sum(F.size(F.filter(texts[c], lambda t: t.rlike(_MARK)))).alias(f"m_{c}") for c in JSON
+    texts = {c: F.regexp_extract_all(c, F.lit(_CONTENT), F.lit(1)) for c in json}
+    sums = [F.sum(F.size(texts[c])).alias(f"n_{c}") for c in json] + [
+        F.sum(F.size(F.filter(texts[c], lambda t: t.rlike(_MARK)))).alias(f"m_{c}") for c in json
     ]
-    rows = log.groupBy(source_of(F.col("session_id")).alias("client")).agg(*[share(c).alias(f"base_{c}") for c in PROSE], *sums)
-    return rows.select("client", *[f"base_{c}" for c in PROSE], *[F.try_divide(f"m_{c}", f"n_{c}").alias(f"base_{c}") for c in JSON])
+    rows = log.groupBy(source_of(F.col("session_id")).alias("client")).agg(*[share(c).alias(f"base_{c}") for c in prose], *sums)
+    return rows.select("client", *[f"base_{c}" for c in prose], *[F.try_divide(f"m_{c}", f"n_{c}").alias(f"base_{c}") for c in json])
 
 
-def with_baselines(log: DataFrame, columns: list[str]) -> DataFrame:
+def with_baselines(log: DataFrame, columns: list[str], weighed: list[str]) -> DataFrame:
+    """``columns`` of ``log``, and the baselines of those in ``weighed``."""
     slim = log.select(F.col("id").cast("long").alias("id"), source_of(F.col("session_id")).alias("client"), *columns)
-    base = materialise(baselines(log), "baselines")
+    base = materialise(baselines(log, weighed), "baselines")
     # one row per source: sent to all tasks if it is a small table, so that a source with a
     # third of all rows is not one task's share of a join
     if base.limit(MOST_SOURCES + 1).count() <= MOST_SOURCES:
         base = F.broadcast(base)
-    return slim.join(base, "client").fillna(1.0, [f"base_{c}" for c in PROSE + JSON])
+    return slim.join(base, "client").fillna(1.0, [f"base_{c}" for c in weighed])
 
 
 def broken_values(log: DataFrame) -> DataFrame:
@@ -135,7 +137,7 @@ def broken_values(log: DataFrame) -> DataFrame:
                         found += [(i, column, base, None, keys) for keys in ([what] if column in PROSE else what)]
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*found) if found else [[]] * 5, schema)], schema=schema)
 
-    rows = with_baselines(log, PROSE + JSON).mapInArrow(run, "interaction_id long, field_name string, base double, broken boolean, asked array<long>")
+    rows = with_baselines(log, PROSE + JSON, PROSE + JSON).mapInArrow(run, "interaction_id long, field_name string, base double, broken boolean, asked array<long>")
     return decided(rows, log, words).filter("broken").select("interaction_id", "field_name").distinct()
 
 
